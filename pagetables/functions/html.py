@@ -20,8 +20,9 @@ OPEN, SHUT = "\u0001", "\u0002"
 
 # A tag up to its '>'; a '>' inside a quoted value does not count.
 TAG = r"""<(/?[a-zA-Z][^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+)>"""
-COMMENT = r"(?s)<!--.*?(?:-->|\z)|<![^>]*+>"
-HIDDEN = r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|" + COMMENT[4:]
+COMMENT = r"(?s)<!(?:--.*?(?:-->|\z)|[^>]*+>)"
+HIDDEN = (r"(?is)<(?:script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)"
+          r"|!--.*?(?:-->|\z)|![^>]*+>)")
 HEAD = rf"(?is){OPEN}head\b.*?{OPEN}/head\s*{SHUT}"
 BLOCKS = ("br|p|div|li|ul|ol|tr|table|tbody|thead|tfoot|caption|h[1-6]|section|article|header"
           "|footer|main|aside|nav|form|hr|dl|dt|dd|blockquote|pre|address|body|html|figure"
@@ -83,7 +84,7 @@ def _numbered_character(name: Column) -> Column:
 
 def inner_text(fragment: Column) -> Column:
     """Text as laid out: block tags and <br> end a line, cells are one space apart."""
-    flat = F.regexp_replace(fragment, r"[ \t\r\n\f]+", " ")
+    flat = F.regexp_replace(fragment, r"[ \t\r\n\f]{2,}|[\t\r\n\f]", " ")
     lines = F.regexp_replace(flat, BLOCK_TAG, "\n")
     text = F.regexp_replace(F.regexp_replace(lines, CELL_TAG, " "), ANY_TAG, "")
     return strip(F.regexp_replace(F.regexp_replace(text, " *\n[ \n]*", "\n"), "  +", " "))
@@ -280,10 +281,10 @@ def _without_dots(url: Column) -> Column:
 
 # --- elements ------------------------------------------------------------------------
 
-def elements(page: Column, names: str, wanted: Column) -> Column:
-    """Fragments of all elements whose tag begins with one of ``names`` ('div|ul', or
-    '[a-z]' for any) and matches ``wanted``; each up to its own end tag, or to the end
-    of the page. Elements inside each other are all returned."""
+def elements(page: Column, names: Column, wanted: Column) -> Column:
+    """Fragments of all elements whose name matches the pattern ``names`` and whose tag
+    matches ``wanted``; each up to its own end tag, or to the end of the page. Elements
+    inside each other are all returned."""
     def starts(pieces):
         return F.filter(
             F.transform(pieces, lambda x, i: F.when(
@@ -307,7 +308,8 @@ def elements(page: Column, names: str, wanted: Column) -> Column:
             1).otherwise(F.aggregate(rest, start, step)["taken"])
         return F.concat(F.lit(OPEN), F.array_join(F.slice(pieces, i + 1, taken), OPEN))
 
-    return let(F.split(page, rf"(?i){OPEN}(?=/?(?:{names}))"), lambda pieces: F.transform(
+    cut = F.concat(F.lit(f"(?i){OPEN}(?=/?(?:"), names, F.lit(r")\b)"))
+    return let(F.split(page, cut), lambda pieces: F.transform(
         starts(pieces), lambda i: fragment(pieces, i)))
 
 
@@ -333,10 +335,8 @@ def result_kind(page: Column) -> Column:
 
 def result_blocks(page: Column, kind: Column) -> Column:
     """Fragments of the result elements of the given kind (``result_kind``)."""
+    names = F.array(*[F.lit(name) for name, _ in RESULT_KINDS])
     patterns = F.array(*[F.lit(rf"(?s)^(?i:{name})\b{where}") for name, where in RESULT_KINDS])
-    wanted = F.get(patterns, kind)
-    none = F.array().cast("array<string>")
-    return (F.when(kind.isin(0, 2, 3), elements(page, r"div\b", wanted))
-            .when(kind == 1, elements(page, r"tr\b", wanted))
-            .when(kind.isNotNull(), elements(page, "[a-z]", wanted))
-            .otherwise(none))
+    return F.when(kind.isNotNull(), elements(
+        page, F.get(names, kind), F.get(patterns, kind))).otherwise(
+        F.array().cast("array<string>"))

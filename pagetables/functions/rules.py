@@ -183,16 +183,24 @@ SALES_TEXT_FIELDS = ["sale_price", "sale_date", "property_address", "owner_name"
                      "municipality", "square_footage", "parcel_number", "homesteaded"]
 
 
+def has_digit(text: Column) -> Column:
+    """A cheap test that spares most lines the patterns which need a digit."""
+    return text.rlike(r"(?U)\d")
+
+
 def sales_price(current: Column, text: Column) -> Column:
-    return F.coalesce(current, find(text, SALES_PRICE))
+    return F.coalesce(current, F.when(
+        F.contains(text, F.lit("$")), find(text, SALES_PRICE)))
 
 
 def sales_date(current: Column, text: Column) -> Column:
-    return first_match(current, text, SALES_DATES, group=0, ignore_case=False)
+    return F.coalesce(current, F.when(has_digit(text), first_match(
+        no_text(), text, SALES_DATES, group=0, ignore_case=False)))
 
 
 def sales_address(current: Column, text: Column) -> Column:
-    return first_match(current, text, SALES_ADDRESSES, group=0)
+    return F.coalesce(current, F.when(has_digit(text), first_match(
+        no_text(), text, SALES_ADDRESSES, group=0)))
 
 
 def sales_owner(current: Column, text: Column, address: Column, town: Column) -> Column:
@@ -223,7 +231,7 @@ def sales_municipality(current: Column, text: Column, owner: Column, address: Co
 def sales_square_footage(current: Column, text: Column) -> Column:
     in_range = F.filter(find_all(text, SALES_SQFT, 1),
                         lambda n: n.try_cast("int").between(MIN_SQFT, MAX_SQFT))
-    return F.coalesce(current, F.get(in_range, F.lit(0)))
+    return F.coalesce(current, F.when(has_digit(text), F.get(in_range, F.lit(0))))
 
 
 def sales_parcel(current: Column, text: Column) -> Column:
