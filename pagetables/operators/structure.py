@@ -29,25 +29,25 @@ def page_structure(pages: DataFrame) -> DataFrame:
     to with its expected number of results. Narrow: the counts are taken in the row."""
     staged = pages.withColumn("has_pagination", has_pagination_mark(
         H.marked(F.col("html"), hidden=H.COMMENT)))
-    staged = mark_pages(staged).withColumn("all_tables", H.tables(F.col("marked")))
-    staged = staged.withColumn("table_rows", F.filter(F.transform(
-        "all_tables", lambda t: F.when(is_results_table(t, F.size(H.rows(t))),
+    staged = mark_pages(staged).withColumn("_all_tables", H.tables(F.col("marked")))
+    staged = staged.withColumn("_table_rows", F.filter(F.transform(
+        "_all_tables", lambda t: F.when(is_results_table(t, F.size(H.rows(t))),
                                        F.size(H.rows(t)))), lambda n: n.isNotNull()))
-    staged = staged.withColumn("n_rows", F.size(result_row_units(F.col("all_tables"))))
-    staged = staged.withColumn("n_links", F.size(F.filter(
+    staged = staged.withColumn("_n_rows", F.size(result_row_units(F.col("_all_tables"))))
+    staged = staged.withColumn("_n_links", F.size(F.filter(
         H.tags(F.col("marked")), lambda t: t["tag"].rlike(r"(?i)^a\b") & contains_any(
             H.attribute(t["tag"], "href"), DETAIL_LINK_WORDS))))
     keys = [c for c in pages.columns if c not in ("html", "marked")]
-    expected = F.aggregate("table_rows", F.lit(0), lambda acc, n: acc + n - 1)
+    expected = F.aggregate("_table_rows", F.lit(0), lambda acc, n: acc + n - 1)
     return staged.select(
         *keys,
-        F.size("table_rows").alias("n_results_tables"),
-        F.col("n_rows").alias("n_result_rows"),
-        F.col("n_links").alias("n_detail_links"),
+        F.size("_table_rows").alias("n_results_tables"),
+        F.col("_n_rows").alias("n_result_rows"),
+        F.col("_n_links").alias("n_detail_links"),
         "has_pagination",
-        F.when(F.size("table_rows") > 0, "table").when(F.col("n_rows") > 0, "rows")
+        F.when(F.size("_table_rows") > 0, "table").when(F.col("_n_rows") > 0, "rows")
         .otherwise("text_based").alias("structure_type"),
-        F.when(F.size("table_rows") > 0, expected).otherwise(F.col("n_rows"))
+        F.when(F.size("_table_rows") > 0, expected).otherwise(F.col("_n_rows"))
         .alias("total_results"))
 
 

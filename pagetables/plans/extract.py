@@ -88,22 +88,26 @@ def sales_records(pages: DataFrame) -> DataFrame:
     """Pages with ``records``: from tables; where these give none, from result blocks;
     where these give none, one record from the text."""
     staged = mark_pages(pages)
-    staged = staged.withColumn("from_tables", _sales_from_tables(H.tables(F.col("marked"))))
-    staged = staged.withColumn("kind", F.when(
-        F.size("from_tables") == 0, H.result_kind(F.col("marked"))))
-    staged = staged.withColumn("from_blocks", _sales_from_blocks(
-        H.result_blocks(F.col("marked"), F.col("kind"))))
+    staged = staged.withColumn("_from_tables", _sales_from_tables(H.tables(F.col("marked"))))
+    staged = staged.withColumn("_kind", F.when(
+        F.size("_from_tables") == 0, H.result_kind(F.col("marked"))))
+    staged = staged.withColumn("_from_blocks", _sales_from_blocks(
+        H.result_blocks(F.col("marked"), F.col("_kind"))))
     return staged.withColumn(
-        "records", F.when(F.size("from_tables") > 0, F.col("from_tables"))
-        .when(F.size("from_blocks") > 0, F.col("from_blocks"))
+        "records", F.when(F.size("_from_tables") > 0, F.col("_from_tables"))
+        .when(F.size("_from_blocks") > 0, F.col("_from_blocks"))
         .otherwise(_sales_from_text(F.col("marked")))) \
-        .drop("marked", "from_tables", "from_blocks", "kind")
+        .drop("marked", "_from_tables", "_from_blocks", "_kind")
 
 
 def extract_sales(pages: DataFrame, extracted_at) -> DataFrame:
     """Sales records of all pages, with ``page_id``, ``table_idx``, ``row_idx`` and the
     other page columns; ``page_no`` of the page, if any, becomes ``page_number``."""
-    found = sales_records(pages)
+    return records_of_pages(sales_records(pages), extracted_at)
+
+
+def records_of_pages(found: DataFrame, extracted_at) -> DataFrame:
+    """Pages with ``records`` to one row per sales record."""
     keys = [c for c in found.columns if c != "records"]
     rows = explode_array(found, keys, F.col("records"), "pos", "r")
     page_number = F.col("page_no").cast("int") if "page_no" in keys else F.lit(None).cast("int")
@@ -175,26 +179,26 @@ def wide_records(pages: DataFrame, keywords=None) -> DataFrame:
     result rows or text blocks; per page the first record of each key."""
     keywords = keywords or K.FIELD_KEYWORDS
     none = F.array().cast("array<string>")
-    staged = mark_pages(pages).withColumn("all_tables", H.tables(F.col("marked")))
-    staged = staged.withColumn("results", F.filter(
-        F.transform("all_tables", lambda t, i: F.struct(i.alias("table_idx"), t.alias("table"))),
+    staged = mark_pages(pages).withColumn("_all_tables", H.tables(F.col("marked")))
+    staged = staged.withColumn("_results", F.filter(
+        F.transform("_all_tables", lambda t, i: F.struct(i.alias("table_idx"), t.alias("table"))),
         lambda t: is_results_table(t["table"], F.size(H.rows(t["table"])))))
-    staged = staged.withColumn("result_rows", F.when(
-        F.size("results") == 0, result_row_units(F.col("all_tables"))))
+    staged = staged.withColumn("_result_rows", F.when(
+        F.size("_results") == 0, result_row_units(F.col("_all_tables"))))
     staged = staged.withColumn(
-        "structure_type", F.when(F.size("results") > 0, "table")
-        .when(F.size("result_rows") > 0, "rows").otherwise("text_based"))
+        "structure_type", F.when(F.size("_results") > 0, "table")
+        .when(F.size("_result_rows") > 0, "rows").otherwise("text_based"))
     units = (F.when(F.col("structure_type") == "table",
-                    _wide_table_units(F.col("results"), keywords).cast(WIDE_UNIT))
+                    _wide_table_units(F.col("_results"), keywords).cast(WIDE_UNIT))
              .when(F.col("structure_type") == "rows", F.transform(
-                 "result_rows", lambda r: _wide_unit(
+                 "_result_rows", lambda r: _wide_unit(
                      r["table_idx"], r["row_idx"], none, r["row"])).cast(WIDE_UNIT))
              .otherwise(F.transform(
                  blocks_of_text(H.stored_text(F.col("marked"))),
                  lambda b, i: _wide_unit(F.lit(-1), i, none, b)).cast(WIDE_UNIT)))
-    staged = staged.withColumn("units", units)
-    return staged.withColumn("records", _dedupe_in_page(_wide_records(F.col("units")))) \
-        .drop("marked", "all_tables", "results", "result_rows", "units")
+    staged = staged.withColumn("_units", units)
+    return staged.withColumn("records", _dedupe_in_page(_wide_records(F.col("_units")))) \
+        .drop("marked", "_all_tables", "_results", "_result_rows", "_units")
 
 
 def extract_wide(pages: DataFrame, extracted_at, keywords=None) -> DataFrame:

@@ -5,6 +5,7 @@ arithmetic on the order key, so rendering needs no window over a run. What a pag
 known from the tables, which lets plain SQL over the tables check what extraction finds.
 
 By run (``run_no % 3``) and page:
+The pager differs by run, too.
 * runs 1, 4, ..: pages 20-22 are empty;  runs 2, 5, ..: page 10 is empty and page 40 has no
   next link;  the last page of each run has no next link;  page 59 still shows a spinner.
 By ``page_no % 4``: 1 leaves out end tags and uses entities, 2 writes tags in capitals,
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 ROWS_PER_PAGE, PAGES_PER_RUN = 25, 60
 HEADINGS = ["Sale Price", "Sale Date", "Owner Name", "Location", "Municipality", "Sq. Ft",
             "Homestead", "Parcel Number"]
+MENU = "<table class=menu><tr><td>menu</td><td>help</td></tr></table>"
 CELLS = ["sale_price", "sale_date", "owner_name", "property_address", "municipality",
          "square_footage", "homesteaded", "parcel_number"]
 
@@ -86,23 +88,42 @@ def _by_page(rows: DataFrame, item: Column) -> DataFrame:
         .alias("items"))
 
 
-def _pages(grouped: DataFrame, content: Column) -> DataFrame:
-    number = F.col("page_no").cast("string")
-    pager = F.concat(
-        F.lit('<div class="pager"><span class="current">'), number,
-        F.lit(f"</span> Page "), number, F.lit(f" of {PAGES_PER_RUN} "),
+def _pager(page_no: Column) -> Column:
+    """By run: 'Page X of Y' and Next; a numbered list; 'X/Y' and an arrow."""
+    number = page_no.cast("string")
+    following = (page_no + 1).cast("string")
+    named = F.concat(
+        F.lit('<div class="pager"><span class="current">'), number, F.lit("</span> Page "), number,
+        F.lit(f" of {PAGES_PER_RUN} "),
+        F.when(has_next_page(), F.concat(F.lit('<a href="search?page='), following,
+                                         F.lit('">Next &gt;</a>'))).otherwise(""),
+        F.lit("</div>"))
+    listed = F.concat(
+        F.lit('<ul class="pagination"><li><a href="search?page=1">1</a></li><li class="active"><a>'),
+        number, F.lit("</a></li>"),
         F.when(has_next_page(), F.concat(
-            F.lit('<a href="search?page='), (F.col("page_no") + 1).cast("string"),
-            F.lit('">Next &gt;</a>'))).otherwise(""), F.lit("</div>"))
+            F.lit('<li><a href="search?page='), following, F.lit('">'), following,
+            F.lit("</a></li>"))).otherwise(""),
+        F.lit(f'<li><a href="search?page={PAGES_PER_RUN}">{PAGES_PER_RUN}</a></li></ul>'))
+    short = F.concat(
+        F.lit('<div class="pager"><a class="current">'), number, F.lit("</a> at "), number,
+        F.lit(f"/{PAGES_PER_RUN} "),
+        F.when(has_next_page(), F.concat(F.lit('<a title="Next Page" href="search?page='),
+                                         following, F.lit('">&gt;</a>'))).otherwise(""),
+        F.lit("</div>"))
+    kind = F.col("run_no") % 3
+    return F.when(kind == 1, listed).when(kind == 2, short).otherwise(named)
+
+
+def _pages(grouped: DataFrame, content: Column) -> DataFrame:
     spinner = F.when(F.col("page_no") == 59, '<div class="spinner"></div>').otherwise("")
     html = F.concat(
         F.lit("<!DOCTYPE html><html><head><title>Search results</title>"
               "<style>td{margin:0}</style><script>var t=\"<table><tr><td>x</td></tr>\";</script>"
-              "</head><body><!-- <table> -->"
-              "<table class=menu><tr><td>menu</td><td>help</td></tr></table>"),
+              "</head><body><!-- <table> -->"),
         spinner,
         F.when(is_empty_page(), "<p>No records found</p>").otherwise(content),
-        pager, F.lit("</body></html>"))
+        _pager(F.col("page_no")), F.lit("</body></html>"))
     return grouped.select(
         "page_id", page_url(F.col("page_no")).alias("url"), html.alias("html"),
         F.concat(F.lit("run-"), F.col("run_no").cast("string")).alias("source"), "page_no",
@@ -130,7 +151,8 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     head = F.when(style == 3, heading("td")).otherwise(heading("th"))
     grouped = _by_page(listing_rows(spark, sf_dir), cased)
-    content = F.concat(F.lit("<table>"), head, F.array_join("items", "\n"), F.lit("</table>"))
+    content = F.concat(F.lit(MENU + "<table>"), head, F.array_join("items", "\n"),
+                       F.lit("</table>"))
     return _pages(grouped, content)
 
 
@@ -191,6 +213,30 @@ def block_pages(spark: SparkSession, sf_dir: str, text: Column | None = None) ->
     return _pages(grouped, F.array_join("items", "\n"))
 
 
+def row_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose rows are marked cells with one compact line, each in a table of its own,
+    after a row that is not marked."""
+    item = F.concat(F.lit('<table><tr><td class="odd result"><a href="/detail/parcel?id='),
+                    F.col("order_key").cast("string"), F.lit('">'),
+                    F.regexp_replace(compact_text(), "&", "&amp;"), F.lit("</a></td></tr></table>"))
+    grouped = _by_page(listing_rows(spark, sf_dir), item)
+    return _pages(grouped, F.concat(
+        F.lit("<table><tr><td>a</td><td>b</td><td>c</td></tr></table>"),
+        F.array_join("items", "\n")))
+
+
+def plain_table_pages(spark: SparkSession, sf_dir: str, headings: str) -> DataFrame:
+    """Pages whose table has the given first row and street addresses with 'LN'."""
+    cells = [F.col("sale_price"), F.col("sale_date"), F.col("owner_name"),
+             F.regexp_replace("property_address", "CIR$", "LN"), F.col("municipality"),
+             F.col("square_footage"), F.col("homesteaded"), F.col("parcel_number")]
+    item = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells],
+                    F.lit("</tr>"))
+    grouped = _by_page(listing_rows(spark, sf_dir), item)
+    return _pages(grouped, F.concat(
+        F.lit(f"<table><tr>{headings}</tr>"), F.array_join("items", "\n"), F.lit("</table>")))
+
+
 def fact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose rows stand in plain text, one block each between blank lines."""
     grouped = _by_page(listing_rows(spark, sf_dir), facts_text())

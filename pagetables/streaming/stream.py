@@ -10,7 +10,7 @@ from pagetables.operators.records import dedupe_keys
 from pagetables.sources.tables import PAGES_SCHEMA
 
 
-def read_pages_stream(spark: SparkSession, folder: str, schema: str = PAGES_SCHEMA,
+def read_pages_stream(spark: SparkSession, folder: str, schema=PAGES_SCHEMA,
                       glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
     """Pages from Parquet files that appear in a folder."""
     reader = spark.readStream.schema(schema)
