@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def built_once(build: Callable[[], Column]) -> Callable[[], Column]:
+    """Build a large expression once per JVM. It names its columns, so it can be used in
+    any plan; only the many calls that put it together are saved."""
+    kept: dict = {}
+
+    @wraps(build)
+    def get() -> Column:
+        gateway = SparkContext._gateway
+        if "column" not in kept or kept["gateway"] is not gateway:
+            kept["gateway"], kept["column"] = gateway, build()
+        return kept["column"]
+
+    return get
+
+
 def no_text() -> Column:
     return F.lit(None).cast("string")
 

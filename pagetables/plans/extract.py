@@ -15,7 +15,9 @@ from pagetables.functions import fields as K
 from pagetables.functions import html as H
 from pagetables.functions import rules as R
 from pagetables.functions.fixed import SALES_FIELDS, WIDE_FIELDS
-from pagetables.functions.text import clean_text, extraction_date, let, no_text, truncate_info
+from pagetables.functions.text import (
+    built_once, clean_text, extraction_date, let, no_text, truncate_info,
+)
 from pagetables.operators.scan import (
     blocks_of_text, explode_array, is_results_table, mark_pages, result_row_units,
 )
@@ -84,19 +86,38 @@ def _sales_from_text(page):
     return F.filter(F.array(record), lambda r: any_set(r, TEXT_KEEP))
 
 
+@built_once
+def _table_column():
+    return _sales_from_tables(H.tables(F.col("marked")))
+
+
+@built_once
+def _block_column():
+    return _sales_from_blocks(H.result_blocks(F.col("marked"), F.col("_kind")))
+
+
+@built_once
+def _text_column():
+    return _sales_from_text(F.col("marked"))
+
+
+@built_once
+def _wide_column():
+    return _dedupe_in_page(_wide_records(F.col("_units")))
+
+
 def sales_records(pages: DataFrame) -> DataFrame:
     """Pages with ``records``: from tables; where these give none, from result blocks;
     where these give none, one record from the text."""
     staged = mark_pages(pages)
-    staged = staged.withColumn("_from_tables", _sales_from_tables(H.tables(F.col("marked"))))
+    staged = staged.withColumn("_from_tables", _table_column())
     staged = staged.withColumn("_kind", F.when(
         F.size("_from_tables") == 0, H.result_kind(F.col("marked"))))
-    staged = staged.withColumn("_from_blocks", _sales_from_blocks(
-        H.result_blocks(F.col("marked"), F.col("_kind"))))
+    staged = staged.withColumn("_from_blocks", _block_column())
     return staged.withColumn(
         "records", F.when(F.size("_from_tables") > 0, F.col("_from_tables"))
         .when(F.size("_from_blocks") > 0, F.col("_from_blocks"))
-        .otherwise(_sales_from_text(F.col("marked")))) \
+        .otherwise(_text_column())) \
         .drop("marked", "_from_tables", "_from_blocks", "_kind")
 
 
@@ -197,7 +218,7 @@ def wide_records(pages: DataFrame, keywords=None) -> DataFrame:
                  blocks_of_text(H.stored_text(F.col("marked"))),
                  lambda b, i: _wide_unit(F.lit(-1), i, none, b)).cast(WIDE_UNIT)))
     staged = staged.withColumn("_units", units)
-    return staged.withColumn("records", _dedupe_in_page(_wide_records(F.col("_units")))) \
+    return staged.withColumn("records", _wide_column()) \
         .drop("marked", "_all_tables", "_results", "_result_rows", "_units")
 
 
