@@ -29,6 +29,7 @@ BLOCKS = ("br|p|div|li|ul|ol|tr|table|tbody|thead|tfoot|caption|h[1-6]|section|a
           "|fieldset|option|select")
 BLOCK_TAG = rf"(?i){OPEN}/?(?:{BLOCKS})\b[^{SHUT}]*{SHUT}"
 CELL_TAG = rf"(?i){OPEN}/?t[dh]\b[^{SHUT}]*{SHUT}"
+SPACE_RUN = r"[ \t\r\n\f]{2,}|[\t\r\n\f]"
 ANY_TAG = f"{OPEN}[^{SHUT}]*{SHUT}"
 
 
@@ -84,7 +85,7 @@ def _numbered_character(name: Column) -> Column:
 
 def inner_text(fragment: Column) -> Column:
     """Text as laid out: block tags and <br> end a line, cells are one space apart."""
-    flat = F.regexp_replace(fragment, r"[ \t\r\n\f]{2,}|[\t\r\n\f]", " ")
+    flat = F.regexp_replace(fragment, SPACE_RUN, " ")
     lines = F.regexp_replace(flat, BLOCK_TAG, "\n")
     text = F.regexp_replace(F.regexp_replace(lines, CELL_TAG, " "), ANY_TAG, "")
     return strip(F.regexp_replace(F.regexp_replace(text, " *\n[ \n]*", "\n"), "  +", " "))
@@ -179,7 +180,10 @@ def cell_kind(piece: Column) -> Column:
 
 
 def cell_text(piece: Column) -> Column:
-    return inner_text(F.concat(F.lit(OPEN), piece))
+    """Text after the cell's own tag; most cells hold no further tag."""
+    content = F.substr(piece, F.locate(SHUT, piece) + 1)
+    return let(content, lambda c: F.when(F.contains(c, F.lit(OPEN)), inner_text(c)).otherwise(
+        strip(F.regexp_replace(c, SPACE_RUN, " "))))
 
 
 def cells(row: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,16 +43,27 @@ def fill_from_patterns(df: DataFrame, text_col: str, rules) -> DataFrame:
 
 # --- wide record -----------------------------------------------------------------------
 
-def wide_property_address(current: Column, text: Column) -> Column:
-    return first_match(current, text, WIDE_PATTERNS["property_address"])
+def needs(text: Column, *words: str) -> Column:
+    """The upper-case text holds one of the words without which no pattern can match; a
+    cheap test that spares most texts the patterns. (Upper case also folds the long s.)"""
+    up = F.upper(text)
+    return reduce(Column.__or__, [F.contains(up, F.lit(w)) for w in words])
+
 
+def _by_patterns(field: str, *words: str, prefix: str = ""):
+    def rule(current: Column, text: Column) -> Column:
+        hit = first_match(no_text(), text, WIDE_PATTERNS[field], prefix=prefix)
+        return F.coalesce(current, F.when(needs(text, *words), hit) if words else hit)
 
-def wide_parcel_number(current: Column, text: Column) -> Column:
-    return first_match(current, text, WIDE_PATTERNS["parcel_number"])
+    return rule
 
 
-def wide_property_value(current: Column, text: Column) -> Column:
-    return first_match(current, text, WIDE_PATTERNS["property_value"], prefix="$")
+wide_property_address = _by_patterns("property_address")
+wide_parcel_number = _by_patterns("parcel_number", "-", "PCN", "PARCEL")
+wide_property_value = _by_patterns("property_value", "VALUE", prefix="$")
+wide_acres = _by_patterns("acres", "AC")
+wide_mail_city_state_zip = _by_patterns("mail_city_state_zip", ",")
+wide_lot_size = _by_patterns("lot_size", "LOT", "LAND AREA")
 
 
 def wide_municipality(current: Column, text: Column) -> Column:
@@ -58,21 +71,9 @@ def wide_municipality(current: Column, text: Column) -> Column:
         F.contains(F.lower(text), F.lit(WIDE_TOWN_TEXT)), WIDE_TOWN))
 
 
-def wide_acres(current: Column, text: Column) -> Column:
-    return first_match(current, text, WIDE_PATTERNS["acres"])
-
-
-def wide_mail_city_state_zip(current: Column, text: Column) -> Column:
-    return first_match(current, text, WIDE_PATTERNS["mail_city_state_zip"])
-
-
 def wide_homesteaded(current: Column, text: Column) -> Column:
-    return F.coalesce(current, yes_no(first_match(
-        no_text(), text, WIDE_PATTERNS["homesteaded"])))
-
-
-def wide_lot_size(current: Column, text: Column) -> Column:
-    return first_match(current, text, WIDE_PATTERNS["lot_size"])
+    return F.coalesce(current, F.when(needs(text, "HOMESTEAD"), yes_no(first_match(
+        no_text(), text, WIDE_PATTERNS["homesteaded"]))))
 
 
 WIDE_RULES = {

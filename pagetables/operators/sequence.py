@@ -134,10 +134,14 @@ def next_link(pages: DataFrame) -> DataFrame:
 
 
 def follow_next(pages: DataFrame) -> DataFrame:
-    """``next_page_id``: the stored page that the next link leads to."""
-    linked = next_link(pages)
-    targets = pages.select(F.col("url").alias("next_url"), F.col("page_id").alias("next_page_id"))
-    return linked.join(targets, "next_url", "left")
+    """``next_page_id``: the stored page that the next link leads to, the first one if the
+    address is stored more than once. Pages without a link get a key of their own, so that
+    they are not gathered under NULL."""
+    linked = next_link(pages).withColumn("_key", F.coalesce(
+        "next_url", F.concat(F.lit("no link "), F.col("page_id").cast("string"))))
+    targets = pages.groupBy(F.col("url").alias("_key")).agg(
+        F.min("page_id").alias("next_page_id"))
+    return linked.join(targets, "_key", "left").drop("_key")
 
 
 # --- per run: positions and totals ------------------------------------------------------
@@ -190,21 +194,23 @@ def page_limit(facts: DataFrame, source: str = "source", max_pages: int = MAX_PA
         .drop("first_page", "last_page")
 
 
-def empty_run_stops(placed: DataFrame, source: str = "source", run: int = EMPTY_RUN) -> DataFrame:
-    """Per source the position that ends its first run of ``run`` empty pages. An empty page
-    counts for each position at which a run through it may end."""
-    ends = placed.filter("n_records = 0").select(source, F.explode(
+def empty_run_stops(facts: DataFrame, source: str = "source", run: int = EMPTY_RUN) -> DataFrame:
+    """Per source the page that ends its first run of ``run`` empty pages. An empty page
+    counts for each position at which a run through it may end; the last page of a run is
+    the one with the highest number."""
+    placed = positions(facts.select(source, "page_no", "n_records"), source)
+    ends = placed.filter("n_records = 0").select(source, "page_no", F.explode(
         F.sequence(F.col("pos"), F.col("pos") + run - 1)).alias("end"))
-    full = ends.groupBy(source, "end").count().filter(F.col("count") == run)
-    return full.groupBy(source).agg(F.min("end").alias("empty_stop"))
+    full = ends.groupBy(source, "end").agg(
+        F.count(F.lit(1)).alias("n"), F.max("page_no").alias("page_no")).filter(F.col("n") == run)
+    return full.groupBy(source).agg(F.min("page_no").alias("empty_stop"))
 
 
 def stop_after_empty_run(facts: DataFrame, source: str = "source",
                          run: int = EMPTY_RUN) -> DataFrame:
     """Pages up to the end of the first run of empty pages."""
-    placed = positions(facts, source)
-    stopped = with_run_limit(placed, empty_run_stops(placed, source, run), source, "page_no")
-    return stopped.filter("empty_stop is null or pos <= empty_stop").drop("empty_stop", "pos")
+    stopped = with_run_limit(facts, empty_run_stops(facts, source, run), source, "page_no")
+    return stopped.filter("empty_stop is null or page_no <= empty_stop").drop("empty_stop")
 
 
 def no_next_stops(facts: DataFrame, source: str = "source") -> DataFrame:
@@ -218,20 +224,23 @@ def stop_without_next(facts: DataFrame, source: str = "source") -> DataFrame:
     return stopped.filter("no_next_stop is null or page_no <= no_next_stop").drop("no_next_stop")
 
 
+def visit_limits(facts: DataFrame, source: str = "source", max_pages: int = MAX_PAGES,
+                 run: int = EMPTY_RUN) -> DataFrame:
+    """First and last page that each run visits under all stop rules. Each rule keeps a
+    prefix of the run, so the tightest one decides."""
+    return page_limits(facts, source, max_pages) \
+        .join(no_next_stops(facts, source), source, "left") \
+        .join(empty_run_stops(facts, source, run), source, "left") \
+        .select(source, "first_page", F.least(
+            "last_page", "no_next_stop", "empty_stop").alias("last_page"))
+
+
 def page_set(facts: DataFrame, source: str = "source", max_pages: int = MAX_PAGES,
              run: int = EMPTY_RUN) -> DataFrame:
-    """Pages a run visits under all stop rules. Each rule keeps a prefix, so the rules are
-    merged into one limit per run and the pages are joined once."""
-    placed = positions(facts, source)
-    limits = page_limits(facts, source, max_pages) \
-        .join(no_next_stops(facts, source), source, "left") \
-        .join(empty_run_stops(placed, source, run), source, "left")
-    bounded = with_run_limit(placed, limits, source, "page_no")
-    return bounded.filter(
-        F.col("page_no").between(F.col("first_page"), F.col("last_page"))
-        & F.expr("no_next_stop is null or page_no <= no_next_stop")
-        & F.expr("empty_stop is null or pos <= empty_stop")) \
-        .drop("first_page", "last_page", "no_next_stop", "empty_stop", "pos")
+    """Pages a run visits under all stop rules; the pages are joined once."""
+    bounded = with_run_limit(facts, visit_limits(facts, source, max_pages, run), source, "page_no")
+    return bounded.filter(F.col("page_no").between(F.col("first_page"), F.col("last_page"))) \
+        .drop("first_page", "last_page")
 
 
 def page_totals(records: DataFrame, source: str = "source", page: str = "page_number") -> DataFrame:

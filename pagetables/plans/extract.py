@@ -170,7 +170,7 @@ def _wide_records(units):
         text = F.when(is_text, u["fragment"]).otherwise(H.inner_text(u["fragment"]))
         texts = F.when(F.size(u["fields"]) > 0, F.transform(
             H.data_cells(u["fragment"]), clean_text)).otherwise(no_fields)
-        mapped = K.assign_mapped(u["fields"], texts)
+        mapped = let(texts, lambda t: K.assign_mapped(u["fields"], t))
         return let(mapped, lambda m: let(text, lambda x: let(
             R.wide_record(m, x, K.MAPPED_FIELDS), lambda r: F.struct(
                 u["table_idx"].alias("table_idx"), u["row_idx"].alias("row_idx"),

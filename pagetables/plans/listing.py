@@ -9,7 +9,7 @@ from pagetables.functions.fixed import EMPTY_RUN, MAX_PAGES
 from pagetables.operators.records import search_records, typed_record
 from pagetables.operators.scan import mark_pages
 from pagetables.operators.sequence import (
-    current_page_of, next_link_of, page_set, total_pages_of, with_run_limit,
+    current_page_of, next_link_of, total_pages_of, visit_limits, with_run_limit,
 )
 from pagetables.plans.extract import records_of_pages, sales_records
 from pagetables.sources.tables import materialise
@@ -38,13 +38,11 @@ def run_listing(pages: DataFrame, extracted_at, source: str = "source",
     rules read the narrow columns only, and the records are filtered by one limit per run.
     """
     facts = materialise(page_facts(pages, records=True), "facts")
-    visited = page_set(facts.drop("records", "url"), source, max_pages, empty_run)
-    limits = visited.groupBy(source).agg(F.min("page_no").alias("first_visited"),
-                                         F.max("page_no").alias("last_visited"))
-    bounded = with_run_limit(facts, limits, source, "page_no").filter(
-        F.col("page_no").between(F.col("first_visited"), F.col("last_visited")))
-    kept = bounded.drop("first_visited", "last_visited", "has_next", "n_records")
-    return records_of_pages(kept, extracted_at)
+    limits = visit_limits(facts, source, max_pages, empty_run)
+    visited = with_run_limit(facts, limits, source, "page_no").filter(
+        F.col("page_no").between(F.col("first_page"), F.col("last_page")))
+    return records_of_pages(visited.drop(
+        "first_page", "last_page", "has_next", "n_records"), extracted_at)
 
 
 def search_listing(pages: DataFrame, extracted_at, source: str = "source",
