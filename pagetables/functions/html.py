@@ -341,6 +341,5 @@ def result_blocks(page: Column, kind: Column) -> Column:
     """Fragments of the result elements of the given kind (``result_kind``)."""
     names = F.array(*[F.lit(name) for name, _ in RESULT_KINDS])
     patterns = F.array(*[F.lit(rf"(?s)^(?i:{name})\b{where}") for name, where in RESULT_KINDS])
-    return F.when(kind.isNotNull(), elements(
-        page, F.get(names, kind), F.get(patterns, kind))).otherwise(
-        F.array().cast("array<string>"))
+    return let(kind, lambda k: F.when(k.isNotNull(), let(F.get(patterns, k), lambda wanted: elements(
+        page, F.get(names, k), wanted))).otherwise(F.array().cast("array<string>")))

@@ -16,7 +16,11 @@ SPACES = " \t\n\r\x0b\x0c"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it any number of times in ``body``."""
+    """Evaluate ``value`` once and use it any number of times in ``body``.
+
+    Also the way to bring a computed column into a lambda: a column named there only once
+    may be replaced by its expression, which would then run for each element.
+    """
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 

@@ -59,17 +59,17 @@ def total_pages_of(page: Column) -> Column:
 
 def current_page_of(page: Column, url: Column) -> Column:
     """Page number marked as current, else shown as 'X of Y', else in the URL."""
-    is_current = rf"(?s)\b{H.attribute_contains('class', 'current|active')}"
+    is_current = H.attribute_contains("class", "current|active")
 
     def numbered(tags, name):
         return F.get(F.filter(F.transform(
-            F.filter(tags, lambda t: t["tag"].rlike(rf"(?i)^{name}\b")
-                     & t["tag"].rlike(is_current) & t["text"].rlike("^[0-9]{1,4}$")),
+            F.filter(tags, lambda t: t["text"].rlike("^[0-9]{1,4}$")
+                     & t["tag"].rlike(rf"(?i)^{name}\b") & t["tag"].rlike(rf"(?s)^{is_current}")),
             lambda t: page_number_range(t["text"])), lambda n: n.isNotNull()), F.lit(0))
 
     item = F.get(F.filter(F.transform(
-        F.when(page.rlike(rf"(?s)(?i:{H.OPEN}li)" + is_current), H.elements(
-            page, F.lit("li"), F.lit(r"(?s)^(?i:li)" + is_current[4:]))),
+        F.when(page.rlike(rf"(?s)(?i:{H.OPEN}li)\b{is_current}"), H.elements(
+            page, F.lit("li"), F.lit(rf"(?s)^(?i:li)\b{is_current}"))),
         lambda li: page_number_range(find(
             li, rf"{H.OPEN}a\b[^{H.SHUT}]*{H.SHUT}\s*(\d+)\s*{H.OPEN}/a", 1, ignore_case=True))),
         lambda n: n.isNotNull()), F.lit(0))
@@ -84,21 +84,29 @@ def current_page_of(page: Column, url: Column) -> Column:
 
 def next_link_of(page: Column, page_no: Column) -> Column:
     """struct(rank, pos, href) of the best link to the next page, NULL if there is none."""
+    return let((page_no + 1).cast("string"), lambda following: _next_link(page, following))
+
+
+def _next_link(page: Column, following: Column) -> Column:
     def attr(t, name, word):
-        return t["tag"].rlike(rf"(?s)\b{H.attribute_contains(name, word)}")
+        return t["tag"].rlike(rf"(?s)^{H.attribute_contains(name, word)}")
 
     def candidate(t, i):
         def named(name):
             return t["tag"].rlike(rf"(?i)^{name}\b")
         off = t["tag"].rlike(r"(?i)^(?:button|input)\b.*\bdisabled\b")
         more, arrow = F.contains(t["text"], F.lit("Next")), F.contains(t["text"], F.lit(">"))
+        titled = F.contains(t["tag"], F.lit("Next Page")) & (
+            H.attribute(t["tag"], "title").eqNullSafe(F.lit("Next Page")))
+        says_next = F.contains(t["tag"], F.lit("next"))
         rank = (F.when(off, None)
-                .when(named("a") & more, 1).when(named("button") & more, 2)
+                .when(more & named("a"), 1).when(more & named("button"), 2)
                 .when(named("input") & attr(t, "value", "Next"), 3)
-                .when(named("a") & arrow, 4).when(named("button") & arrow, 5)
-                .when(named("a") & (t["text"] == (page_no + 1).cast("string")), 6)
-                .when(named("a") & H.attribute(t["tag"], "title").eqNullSafe(F.lit("Next Page")), 7)
-                .when(attr(t, "class", "next"), 8).when(attr(t, "id", "next"), 9))
+                .when(arrow & named("a"), 4).when(arrow & named("button"), 5)
+                .when((t["text"] == following) & named("a"), 6)
+                .when(titled & named("a"), 7)
+                .when(says_next & attr(t, "class", "next"), 8)
+                .when(says_next & attr(t, "id", "next"), 9))
         return let(rank, lambda r: F.when(r.isNotNull(), F.struct(
             r.alias("rank"), i.alias("pos"), H.attribute(t["tag"], "href").alias("href"))))
 

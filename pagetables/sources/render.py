@@ -83,7 +83,12 @@ def _by_page(rows: DataFrame, item: Column) -> DataFrame:
         .otherwise(F.array("row_no"))
     items = rows.withColumn("item", item).select(
         "page_id", "run_no", "page_no", "item", F.explode(repeated).alias("at"))
-    return items.groupBy("page_id", "run_no", "page_no").agg(
+    # as many partitions as the session works with: pages cost work, not bytes, so they
+    # are not merged by size; the grouping below reuses this partitioning
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+            spark.sparkContext.defaultParallelism)
+    return items.repartition(n, "page_id", "run_no", "page_no").groupBy("page_id", "run_no", "page_no").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"])
         .alias("items"))
 

@@ -62,8 +62,10 @@ def _write_csv(df: DataFrame, path: str, header: bool = True, line_end: str = "\
 
 
 def _in_page_order(records: DataFrame, ordered: bool) -> DataFrame:
+    """A range sort reads its input twice, once to sample it; the records are stored first
+    so that they are extracted once."""
     order = [c for c in ("page_id", "table_idx", "row_idx") if c in records.columns]
-    return records.orderBy(*order) if ordered and order else records
+    return materialise(records, "unordered").orderBy(*order) if ordered and order else records
 
 
 def write_sales_csv(records: DataFrame, path: str, ordered: bool = False,
