@@ -127,20 +127,15 @@ def map_columns(spark, sf_dir):
 
 @query("map1_map_columns_table", """
 WITH words AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS keyword FROM part),
-k AS (SELECT keyword, 'has ' || keyword AS field,
-        CAST(row_number() OVER (ORDER BY md5(keyword)) AS INTEGER) AS rank FROM words)
+k AS (SELECT keyword, 'has ' || keyword AS field, md5(keyword) AS rank FROM words)
 SELECT p_partkey, header, arg_min(field, rank) AS field
 FROM (SELECT p_partkey, p_name || ' ' || p_brand AS header FROM part)
 LEFT JOIN k ON contains(lower(header), keyword) GROUP BY p_partkey, header""")
 def map_columns_table(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     words = part.select(F.explode(F.split("p_name", " ")).alias("keyword")).distinct()
-    # a rank for the whole word list needs one order; the list holds distinct words only
-    ranked = words.groupBy().agg(F.array_sort(F.collect_list(F.struct(
-        F.md5(F.col("keyword").cast("binary")).alias("m"), "keyword"))).alias("w")).select(
-        F.posexplode("w").alias("pos", "w")).select(
-        (F.col("pos") + 1).alias("rank"), F.concat(F.lit("has "), "w.keyword").alias("field"),
-        "w.keyword")
+    ranked = words.select(F.md5(F.col("keyword").cast("binary")).alias("rank"),
+                          F.concat(F.lit("has "), "keyword").alias("field"), "keyword")
     headers = part.select("p_partkey", F.concat("p_name", F.lit(" "), "p_brand").alias("header"))
     return mapping.map_columns(headers, ranked).select("p_partkey", "header", "field")
 

@@ -9,6 +9,7 @@ from pagetables.catalog.scan import pages as stored_pages
 from pagetables.operators import sequence as Q
 from pagetables.plans import extract, listing
 from pagetables.sources import render
+from pagetables.sources.tables import materialise
 
 
 def bare_pages(spark, sf_dir):
@@ -55,7 +56,7 @@ def follow_next(spark, sf_dir):
 
 
 def facts(spark, sf_dir):
-    return listing.page_facts(render.result_pages(spark, sf_dir))
+    return materialise(listing.page_facts(render.result_pages(spark, sf_dir)), "facts")
 
 
 @query("seq4_page_limit", LISTED + """

@@ -36,8 +36,8 @@ INTEGER_FIELDS = ["square_footage", "lot_size", "year_built"]
 
 
 def typed_record(records: DataFrame) -> DataFrame:
-    """Add typed columns ``*_amount``, ``*_value``, ``*_int`` and ``*_flag`` beside the raw
-    text; text that does not parse gives NULL."""
+    """Add typed columns ``*_num``, ``*_int``, ``sale_date_value`` and ``homesteaded_flag``
+    beside the raw text; text that does not parse gives NULL."""
     names = records.columns
     typed = {f"{n}_num": T.money(F.col(n)) for n in MONEY_FIELDS if n in names}
     typed |= {f"{n}_int": T.integer(F.col(n)) for n in INTEGER_FIELDS if n in names}

@@ -4,6 +4,10 @@ A run (``source``) may hold a large share of all pages, so nothing here sorts or
 whole run in one task: limits per run are partially aggregated, positions and running
 totals are built from buckets of page numbers, and per-run limits meet the pages in a
 salted join.
+
+``facts`` are rows of one page each: ``source, page_no`` and, where a rule needs them,
+``n_records, has_next, total_pages``. The rules read them several times, so facts that come
+from extraction should be stored first (``materialise``).
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from pagetables.functions.fixed import (
 )
 from pagetables.functions.text import find, find_all, let
 from pagetables.operators.scan import mark_pages
+from pagetables.sources.tables import materialise
 
 BUCKET = 10_000
 SALTS = 32
@@ -126,8 +131,15 @@ def current_page(pages: DataFrame, source: str | None = None) -> DataFrame:
         "page_no", current_page_of(F.col("marked"), F.col("url"))).drop("marked")
     if source is None:
         return staged
-    placed = positions(staged, source, "page_id")
-    return placed.withColumn("page_no", F.coalesce("page_no", F.col("pos").cast("int"))).drop("pos")
+    return number_pages(staged, source)
+
+
+def number_pages(pages: DataFrame, source: str) -> DataFrame:
+    """Give pages whose ``page_no`` is NULL their position in the run by ``page_id``."""
+    placed = positions(pages.select(source, "page_id"), source, "page_id").select(
+        "page_id", F.col("pos").cast("int").alias("_pos"))
+    return pages.join(placed, "page_id").withColumn(
+        "page_no", F.coalesce("page_no", "_pos")).drop("_pos")
 
 
 def next_link(pages: DataFrame) -> DataFrame:
@@ -156,13 +168,19 @@ def follow_next(pages: DataFrame) -> DataFrame:
 
 def running_total(df: DataFrame, source: str, order: str, value: Column, name: str,
                   bucket: int = BUCKET) -> DataFrame:
-    """``name``: sum of ``value`` over the rows of a source up to this one by ``order``, an
-    integer that is unique in the source.
+    """``name``: sum of ``value`` over the rows of a source up to this one by ``order``, a
+    number that is unique in the source.
 
-    Sums are taken per bucket of ``order``; only the bucket sums are ordered per source.
+    The range of ``order`` in each source is cut into about one bucket per ``bucket`` rows;
+    sums are taken per bucket, and only the bucket sums are ordered over a whole source.
     """
-    b = F.floor(F.col(order) / bucket)
-    staged = df.withColumn("_b", b).withColumn("_v", value)
+    at = F.col(order).cast("double")
+    spans = df.groupBy(source).agg(
+        F.min(at).alias("_lo"),
+        ((F.max(at) - F.min(at) + 1) / F.ceil(F.count(F.lit(1)) / bucket)).alias("_width"))
+    staged = with_run_limit(df, spans, source, order) \
+        .withColumn("_b", F.floor((at - F.col("_lo")) / F.col("_width"))) \
+        .withColumn("_v", value).drop("_lo", "_width")
     sums = staged.groupBy(source, "_b").agg(F.sum("_v").alias("_s"))
     earlier = Window.partitionBy(source).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(source, "_b", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_o"))
@@ -252,6 +270,8 @@ def page_set(facts: DataFrame, source: str = "source", max_pages: int = MAX_PAGE
 
 
 def page_totals(records: DataFrame, source: str = "source", page: str = "page_number") -> DataFrame:
-    """Records per page and running total of the run."""
-    counts = records.groupBy(source, page).agg(F.count(F.lit(1)).alias("n_records"))
+    """Records per page and running total of the run. The counts are stored first, since
+    the total reads them more than once and records may be costly to extract."""
+    counts = materialise(records.groupBy(source, page).agg(
+        F.count(F.lit(1)).alias("n_records")), "page-counts")
     return running_total(counts, source, page, F.col("n_records"), "running_total")

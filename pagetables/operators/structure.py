@@ -7,28 +7,27 @@ from pyspark.sql import functions as F
 
 from pagetables.functions import html as H
 from pagetables.functions.fixed import DETAIL_LINK_WORDS
-from pagetables.functions.text import contains_any
+from pagetables.functions.text import contains_any, let
 from pagetables.operators.scan import is_results_table, mark_pages, result_row_units
 
 
-def has_pagination_mark(page):
-    named = H.stored_text(page)
-    return (contains_any(named, ["Next", "Page"])
-            | page.rlike(rf"(?s){H.OPEN}[a-zA-Z]{H.attribute_contains('class', 'page')}"))
+def has_pagination_mark(html):
+    """Some text says Next or Page, or some class contains page. Script text counts, as it
+    is part of the page's elements."""
+    return let(H.marked(html, hidden=H.COMMENT), lambda page: (
+        contains_any(H.stored_text(page), ["Next", "Page"])
+        | page.rlike(rf"(?s){H.OPEN}[a-zA-Z]{H.attribute_contains('class', 'page')}")))
 
 
 def has_pagination(pages: DataFrame) -> DataFrame:
-    """``has_pagination``: some text says Next or Page, or some class contains page.
-    Script text counts, as it is part of the page's elements."""
-    page = H.marked(F.col("html"), hidden=H.COMMENT)
-    return pages.withColumn("has_pagination", has_pagination_mark(page)).drop("html")
+    """``has_pagination`` of each page."""
+    return pages.withColumn("has_pagination", has_pagination_mark(F.col("html"))).drop("html")
 
 
 def page_structure(pages: DataFrame) -> DataFrame:
     """One row per page: counts of tables, rows, links, and the structure type they lead
     to with its expected number of results. Narrow: the counts are taken in the row."""
-    staged = pages.withColumn("has_pagination", has_pagination_mark(
-        H.marked(F.col("html"), hidden=H.COMMENT)))
+    staged = pages.withColumn("has_pagination", has_pagination_mark(F.col("html")))
     staged = mark_pages(staged).withColumn("_all_tables", H.tables(F.col("marked")))
     staged = staged.withColumn("_table_rows", F.filter(F.transform(
         "_all_tables", lambda t: F.when(is_results_table(t, F.size(H.rows(t))),

@@ -9,7 +9,7 @@ from pagetables.functions.fixed import EMPTY_RUN, MAX_PAGES
 from pagetables.operators.records import search_records, typed_record
 from pagetables.operators.scan import mark_pages
 from pagetables.operators.sequence import (
-    current_page_of, next_link_of, total_pages_of, visit_limits, with_run_limit,
+    current_page_of, next_link_of, number_pages, total_pages_of, visit_limits, with_run_limit,
 )
 from pagetables.plans.extract import records_of_pages, sales_records
 from pagetables.sources.tables import materialise
@@ -17,7 +17,8 @@ from pagetables.sources.tables import materialise
 
 def page_facts(pages: DataFrame, records: bool = False) -> DataFrame:
     """One row per page: ``source, page_id, url, page_no, total_pages, has_next, n_records``;
-    with ``records`` also the sales records. Columns the pages already have are kept."""
+    with ``records`` also the sales records. Columns the pages already have are kept; a page
+    that shows no number has a NULL ``page_no``, see ``number_pages``."""
     staged = mark_pages(pages)
     page, url = F.col("marked"), F.col("url")
     if "page_no" not in pages.columns:
@@ -38,6 +39,8 @@ def run_listing(pages: DataFrame, extracted_at, source: str = "source",
     rules read the narrow columns only, and the records are filtered by one limit per run.
     """
     facts = materialise(page_facts(pages, records=True), "facts")
+    if "page_no" not in pages.columns:
+        facts = number_pages(facts, source)
     limits = visit_limits(facts, source, max_pages, empty_run)
     visited = with_run_limit(facts, limits, source, "page_no").filter(
         F.col("page_no").between(F.col("first_page"), F.col("last_page")))

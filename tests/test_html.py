@@ -81,9 +81,9 @@ def test_page_structure_and_readiness(pages):
 
 
 def test_results_page(pages):
-    df = pages("<title>My property</title>", "<title>x</title>", url="http://a.test/GetSalesSearch")
+    df = pages("<title>My property</title>", "<title>x</title>", url="http://a.test/ListSearch")
     assert all(r["is_results_page"] for r in structure.is_results_page(df).collect())
-    strict = structure.is_results_page(df, "GetSalesSearch").collect()
+    strict = structure.is_results_page(df, "ListSearch").collect()
     assert [r["is_results_page"] for r in strict] == [True, True]
     plain = structure.is_results_page(pages("<title>My property</title>", "<title>x</title>"))
     assert [r["is_results_page"] for r in plain.orderBy("page_id").collect()] == [True, False]

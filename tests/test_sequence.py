@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pagetables.operators import sequence as Q
+from pagetables.plans import listing
 
 SCHEMA = ("source string, page_id bigint, page_no int, n_records int, has_next boolean, "
           "total_pages int")
@@ -103,3 +104,15 @@ def test_page_without_number_gets_its_position(spark):
     df = spark.createDataFrame(rows, "page_id bigint, url string, source string, html string")
     got = Q.current_page(df, source="source").collect()
     assert {r["page_id"]: r["page_no"] for r in got} == {10: 1, 20: 2, 30: 9, 5: 1}
+
+
+def test_run_listing_numbers_pages_that_show_no_number(spark):
+    """Runs come out whole when pages carry no page number; ids may lie far apart."""
+    html = "<table><tr><th>Owner<tr><td>O{0}<td>b<td>c</table><a href=n>Next</a>"
+    ids = [-(2 ** 62), -5, 3, 2 ** 62]
+    pages = spark.createDataFrame(
+        [(i, f"http://a.t/{i}", html.format(n), "s") for n, i in enumerate(ids)],
+        "page_id bigint, url string, html string, source string")
+    got = listing.run_listing(pages, "2024-01-02 03:04:05").collect()
+    assert sorted((r["page_number"], r["owner_name"]) for r in got) == [
+        (1, "O0"), (2, "O1"), (3, "O2"), (4, "O3")]
