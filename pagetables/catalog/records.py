@@ -264,7 +264,7 @@ def stored_pages(spark, sf_dir):
 SELECT page_id, row_idx, {texts(SALES_CORE, HEADED)} FROM shown""")
 def incremental_save(spark, sf_dir):
     folder, schema = stored_pages(spark, sf_dir)
-    arriving = stream.read_pages_stream(spark, folder, schema, files_per_batch=5)
+    arriving = stream.read_pages_stream(spark, folder, schema, files_per_batch=50)
     records = extract.extract_sales(arriving, EXTRACTED_AT).select(
         "page_id", "row_idx", *SALES_CORE)
     out = tables.scratch_path(spark, "saved")

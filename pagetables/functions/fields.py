@@ -94,12 +94,12 @@ def assign_by_header_and_value(roles: Column, texts: Column) -> Column:
             *[last_cell_of(f, t, name).alias(name) for name in HEADED_FIELDS])))
 
 
-def is_street(text: Column, tokens=STREET_TOKENS) -> Column:
-    """Contains a street token anywhere, also inside a word."""
-    return contains_any(F.upper(text), tokens)
+def is_street(text: Column, whole_word: bool = False) -> Column:
+    """Contains a street token anywhere, also inside a word unless ``whole_word``."""
+    return contains_any(F.upper(text), STREET_TOKENS, whole_word)
 
 
-def assign_by_position(texts: Column) -> Column:
+def assign_by_position(texts: Column, whole_word: bool = False) -> Column:
     """struct of HEADED_FIELDS for a table without headings: columns 0-5, each guarded
     by what its text looks like."""
     def cell(i):
@@ -114,8 +114,9 @@ def assign_by_position(texts: Column) -> Column:
         "sale_price": case((has_dollar(cell(0)), cell(0)), (~dated & has_dollar(cell(1)), cell(1))),
         "parcel_number": F.when(~has_dollar(cell(0)) & cell(0).rlike("[0-9]"), cell(0)),
         "sale_date": F.when(dated, cell(1)),
-        "owner_name": F.when((F.length(cell(2)) > 3) & ~numeric_name & ~is_street(cell(2)), cell(2)),
-        "property_address": F.when(is_street(cell(3)), cell(3)),
+        "owner_name": F.when((F.length(cell(2)) > 3) & ~numeric_name 
+                             & ~is_street(cell(2), whole_word), cell(2)),
+        "property_address": F.when(is_street(cell(3), whole_word), cell(3)),
         "municipality": F.when((F.length(cell(4)) > 2)
                                & is_letters(F.translate(cell(4), " ", "")), cell(4)),
         "square_footage": F.when(numeric_text(cell(5)), cell(5)),
@@ -135,15 +136,16 @@ def looks_like_name(text: Column) -> Column:
         text.rlike(r"(?:^|\s)\p{Lu}"))
 
 
-def fill_from_cells(record: Column, texts: Column) -> Column:
+def fill_from_cells(record: Column, texts: Column, whole_word: bool = False) -> Column:
     """Fill missing fields in one pass over the cells, left to right; a cell takes at
-    most one role, and a cell that could be an owner is used up even if it is no name."""
+    most one role, and a cell that could be an owner is used up even if it is no name.
+    Street tokens count inside words, too, unless ``whole_word``."""
     names = HEADED_FIELDS
 
     def role(acc, x, up):
         numeric = numeric_text(x)
         sqft = integer(x)
-        street = contains_any(up, STREET_TOKENS)
+        street = contains_any(up, STREET_TOKENS, whole_word)
         return case(
             (x == "", no_text()),
             (F.contains(x, F.lit("$")) & acc["sale_price"].isNull(), "sale_price"),
@@ -153,7 +155,7 @@ def fill_from_cells(record: Column, texts: Column) -> Column:
             (street & acc["property_address"].isNull(), "property_address"),
             (is_letters(F.translate(x, " -", "")) & (F.length(x) > 2)
              & acc["municipality"].isNull() & ~x.eqNullSafe(acc["owner_name"])
-             & ~contains_any(up, STREET_TOKENS_SHORT),
+             & ~contains_any(up, STREET_TOKENS_SHORT, whole_word),
              F.when(F.contains(x, F.lit(" ")) | contains_any(up, CELL_TOWN_CITIES),
                     "municipality")),
             (numeric & sqft.between(MIN_SQFT, MAX_SQFT) & acc["square_footage"].isNull(),

@@ -204,24 +204,26 @@ def sales_address(current: Column, text: Column) -> Column:
         no_text(), text, SALES_ADDRESSES, group=0)))
 
 
-def sales_owner(current: Column, text: Column, address: Column, town: Column) -> Column:
+def sales_owner(current: Column, text: Column, address: Column, town: Column,
+                whole_word: bool = False) -> Column:
     """'Last, First'; else the first capitalised words that are neither street, town nor
     address; else a run of capitals that is no street."""
     def is_name(n):
-        return (~contains_any(F.upper(n), STREET_TOKENS)
+        return (~contains_any(F.upper(n), STREET_TOKENS, whole_word)
                 & ~contains_any(F.upper(n), TEXT_OWNER_CITIES)
                 & ~n.eqNullSafe(address) & ~n.eqNullSafe(town) & (F.length(n) > 3))
 
     words = F.get(F.filter(find_all(text, SALES_OWNER_WORDS), is_name), F.lit(0))
     capitals = let(strip(find(text, SALES_OWNER_CAPS)), lambda c: F.when(
-        (F.length(c) > 3) & ~contains_any(F.upper(c), STREET_TOKENS_SHORT), c))
+        (F.length(c) > 3) & ~contains_any(F.upper(c), STREET_TOKENS_SHORT, whole_word), c))
     return F.coalesce(current, strip(find(text, SALES_OWNER_COMMA)), words, capitals)
 
 
-def sales_municipality(current: Column, text: Column, owner: Column, address: Column) -> Column:
+def sales_municipality(current: Column, text: Column, owner: Column, address: Column,
+                       whole_word: bool = False) -> Column:
     """A known town, else the first run of words, that is no street, owner or address."""
     def is_town(m):
-        return (~contains_any(F.upper(m), STREET_TOKENS_SHORT)
+        return (~contains_any(F.upper(m), STREET_TOKENS_SHORT, whole_word)
                 & ~m.eqNullSafe(owner) & ~m.eqNullSafe(address) & (F.length(m) > 2))
 
     hits = [F.get(F.filter(find_all(text, p, ignore_case=True), is_town), F.lit(0))
@@ -243,11 +245,12 @@ def sales_homestead(current: Column, text: Column) -> Column:
     return F.coalesce(current, find(text, SALES_HOMESTEAD, ignore_case=True))
 
 
-def sales_record(current: Column, text: Column) -> Column:
+def sales_record(current: Column, text: Column, whole_word: bool = False) -> Column:
     """struct of SALES_TEXT_FIELDS: fill what ``current`` lacks from one text. Owner looks
     at the address found and at the town so far, town looks at owner and address."""
     def with_address(address):
-        owner = sales_owner(current["owner_name"], text, address, current["municipality"])
+        owner = sales_owner(current["owner_name"], text, address, current["municipality"],
+                            whole_word)
         return let(owner, lambda o: with_owner(address, o))
 
     def with_owner(address, owner):
@@ -256,7 +259,7 @@ def sales_record(current: Column, text: Column) -> Column:
             sales_date(current["sale_date"], text).alias("sale_date"),
             address.alias("property_address"),
             owner.alias("owner_name"),
-            sales_municipality(current["municipality"], text, owner, address)
+            sales_municipality(current["municipality"], text, owner, address, whole_word)
             .alias("municipality"),
             sales_square_footage(current["square_footage"], text).alias("square_footage"),
             sales_parcel(current["parcel_number"], text).alias("parcel_number"),
@@ -269,6 +272,6 @@ def empty_sales() -> Column:
     return F.struct(*[no_text().alias(f) for f in SALES_TEXT_FIELDS])
 
 
-def fold_lines(lines: Column) -> Column:
+def fold_lines(lines: Column, whole_word: bool = False) -> Column:
     """One record from the lines of a page: applied in order, each fills what is empty."""
-    return F.aggregate(lines, empty_sales(), sales_record)
+    return F.aggregate(lines, empty_sales(), lambda acc, x: sales_record(acc, x, whole_word))

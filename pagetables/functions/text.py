@@ -24,17 +24,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def built_once(build: Callable[[], Column]) -> Callable[[], Column]:
+def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
     """Build a large expression once per JVM. It names its columns, so it can be used in
     any plan; only the many calls that put it together are saved."""
     kept: dict = {}
 
     @wraps(build)
-    def get() -> Column:
+    def get(*options) -> Column:
         gateway = SparkContext._gateway
-        if "column" not in kept or kept["gateway"] is not gateway:
-            kept["gateway"], kept["column"] = gateway, build()
-        return kept["column"]
+        if options not in kept or kept[options][0] is not gateway:
+            kept[options] = gateway, build(*options)
+        return kept[options][1]
 
     return get
 
@@ -52,9 +52,10 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
-def contains_any(c: Column, words: Iterable[str]) -> Column:
-    """One of the words occurs in ``c``, anywhere."""
-    return c.rlike("|".join(re.escape(w) for w in words))
+def contains_any(c: Column, words: Iterable[str], whole_word: bool = False) -> Column:
+    """One of the words occurs in ``c``, anywhere or as a whole word."""
+    pattern = "|".join(re.escape(w) for w in words)
+    return c.rlike(rf"(?U)\b(?:{pattern})\b" if whole_word else pattern)
 
 
 def is_letters(c: Column) -> Column:

@@ -42,15 +42,15 @@ def _sales_struct(table_idx, row_idx, record, href, names):
         *[given.get(n, no_text()).alias(n) for n in K.HEADED_FIELDS], href.alias("href"))
 
 
-def sales_row_record(roles, texts):
+def sales_row_record(roles, texts, whole_word=False):
     """Record of a row: by headings, or by position where there are none, then filled
     from the cells."""
     start = F.when(F.size(roles) > 0, K.assign_by_header_and_value(roles, texts)).otherwise(
-        K.assign_by_position(texts))
-    return K.fill_from_cells(start, texts)
+        K.assign_by_position(texts, whole_word))
+    return K.fill_from_cells(start, texts, whole_word)
 
 
-def _sales_from_tables(tables):
+def _sales_from_tables(tables, whole_word=False):
     def of_rows(rows, i):
         single = F.size(rows) == 1
         data = F.when(single, rows).otherwise(F.slice(rows, 2, F.size(rows)))
@@ -68,37 +68,37 @@ def _sales_from_tables(tables):
                            "href:string>>")))))
     records = F.transform(
         F.filter(units, lambda u: F.size(u["texts"]) >= 3),
-        lambda u: let(sales_row_record(u["roles"], u["texts"]), lambda r: _sales_struct(
+        lambda u: let(sales_row_record(u["roles"], u["texts"], whole_word), lambda r: _sales_struct(
             u["table_idx"], u["row_idx"], r, u["href"], K.HEADED_FIELDS)))
     return F.filter(records, lambda r: any_set(r, SALES_KEEP))
 
 
-def _sales_from_blocks(blocks):
+def _sales_from_blocks(blocks, whole_word=False):
     records = F.transform(blocks, lambda b, i: let(
-        let(H.inner_text(b), lambda text: R.sales_record(R.empty_sales(), text)),
+        let(H.inner_text(b), lambda text: R.sales_record(R.empty_sales(), text, whole_word)),
         lambda r: _sales_struct(F.lit(-1), i, r, H.first_href(b), R.SALES_TEXT_FIELDS)))
     return F.filter(records, lambda r: any_set(r, SALES_KEEP))
 
 
-def _sales_from_text(page):
-    record = let(R.fold_lines(H.text_lines(H.body_text(page))), lambda r: _sales_struct(
+def _sales_from_text(page, whole_word=False):
+    record = let(R.fold_lines(H.text_lines(H.body_text(page)), whole_word), lambda r: _sales_struct(
         F.lit(-1), F.lit(0), r, no_text(), R.SALES_TEXT_FIELDS))
     return F.filter(F.array(record), lambda r: any_set(r, TEXT_KEEP))
 
 
 @built_once
-def _table_column():
-    return _sales_from_tables(H.tables(F.col("marked")))
+def _table_column(whole_word):
+    return _sales_from_tables(H.tables(F.col("marked")), whole_word)
 
 
 @built_once
-def _block_column():
-    return _sales_from_blocks(H.result_blocks(F.col("marked"), F.col("_kind")))
+def _block_column(whole_word):
+    return _sales_from_blocks(H.result_blocks(F.col("marked"), F.col("_kind")), whole_word)
 
 
 @built_once
-def _text_column():
-    return _sales_from_text(F.col("marked"))
+def _text_column(whole_word):
+    return _sales_from_text(F.col("marked"), whole_word)
 
 
 @built_once
@@ -106,25 +106,26 @@ def _wide_column():
     return _dedupe_in_page(_wide_records(F.col("_units")))
 
 
-def sales_records(pages: DataFrame) -> DataFrame:
+def sales_records(pages: DataFrame, whole_word: bool = False) -> DataFrame:
     """Pages with ``records``: from tables; where these give none, from result blocks;
     where these give none, one record from the text."""
     staged = mark_pages(pages)
-    staged = staged.withColumn("_from_tables", _table_column())
+    staged = staged.withColumn("_from_tables", _table_column(whole_word))
     staged = staged.withColumn("_kind", F.when(
         F.size("_from_tables") == 0, H.result_kind(F.col("marked"))))
-    staged = staged.withColumn("_from_blocks", _block_column())
+    staged = staged.withColumn("_from_blocks", _block_column(whole_word))
     return staged.withColumn(
         "records", F.when(F.size("_from_tables") > 0, F.col("_from_tables"))
         .when(F.size("_from_blocks") > 0, F.col("_from_blocks"))
-        .otherwise(_text_column())) \
+        .otherwise(_text_column(whole_word))) \
         .drop("marked", "_from_tables", "_from_blocks", "_kind")
 
 
-def extract_sales(pages: DataFrame, extracted_at) -> DataFrame:
+def extract_sales(pages: DataFrame, extracted_at, whole_word: bool = False) -> DataFrame:
     """Sales records of all pages, with ``page_id``, ``table_idx``, ``row_idx`` and the
-    other page columns; ``page_no`` of the page, if any, becomes ``page_number``."""
-    return records_of_pages(sales_records(pages), extracted_at)
+    other page columns; ``page_no`` of the page, if any, becomes ``page_number``.
+    Street tokens count inside words ('WEST' holds 'ST') unless ``whole_word``."""
+    return records_of_pages(sales_records(pages, whole_word), extracted_at)
 
 
 def records_of_pages(found: DataFrame, extracted_at) -> DataFrame:

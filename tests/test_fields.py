@@ -157,3 +157,14 @@ def test_wide_text_keeps_the_start_of_the_block(pages):
     got = wide(pages(f"<pre>short\n\n{block}\n \n{'y' * 60}</pre>"), "parcel_number",
                "additional_info")
     assert got == [(1, "12-AB", block[:300])]
+
+
+def test_street_tokens_as_whole_words(pages):
+    df = pages(table(list("ABC"), ["$1", "Smith John", "West Palm Beach"]),
+               "<div class=result>in West Palm Beach, $1</div><div class=result>$2</div>")
+    inside = extract.extract_sales(df, AT).orderBy("page_id", "row_idx").collect()
+    whole = extract.extract_sales(df, AT, whole_word=True).orderBy("page_id", "row_idx").collect()
+    assert (inside[0]["property_address"], inside[0]["municipality"]) == ("West Palm Beach", None)
+    assert inside[1]["municipality"] != "West Palm Beach"
+    assert [(r["property_address"], r["municipality"]) for r in whole][:2] == [
+        (None, "West Palm Beach"), (None, "West Palm Beach")]
