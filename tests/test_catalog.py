@@ -4,9 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
+from pagetables.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-ORACLES = entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,12 +15,13 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.keys() <= entry.queries().keys() and ORACLES.keys() <= entry.oracle_sql().keys()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, db, name):
-    assert compare.compare(entry.queries()[name](spark, SF), db, ORACLES[name]) is None
+    assert compare.compare(QUERIES[name](spark, SF), db, ORACLES[name]) is None
 
 
 def test_entry(spark):
