@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetables.llm import decontaminate, langid, linededup, packing, simhash
+from pagetables.llm import (decontaminate, langid, linededup, packing, simhash, substring,
+                            tokencount, topk, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +28,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@_query("op1_decontaminate")
+@_query("op1_decontaminate", """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bp AS (SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i
+       FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM bp),
+dp AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+       FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n),
+hit AS (SELECT doc_id, i, dp.n, item_id FROM dp JOIN bw
+        ON dp.n = bw.n AND array_to_string(w[i:i + dp.n - 1], ' ') = bw.k),
+words AS (SELECT doc_id, count(DISTINCT i) AS n_hit
+          FROM (SELECT doc_id, unnest(range(i, i + n)) AS i FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id),
+s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+             CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256
+      FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id))
+SELECT *, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated FROM s""")
 def op1(spark, sf_dir):
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"),
                                         _table(spark, sf_dir, "benchmark"))
@@ -37,6 +59,31 @@ def op1(spark, sf_dir):
         decontaminate.contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"))
 
 
+@_query("op2_toxicity")
+def op2(spark, sf_dir):
+    found = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
+@_query("op4_substring_dedup", """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+           FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM p WHERE i + 19 <= len(w)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM x),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM r WHERE n > 1),
+kept AS (SELECT p.doc_id, count(g.i) AS n_removed,
+                string_agg(p.w[p.i], ' ' ORDER BY p.i) FILTER (g.i IS NULL) AS kept
+         FROM p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words,
+       CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)""")
+def op4(spark, sf_dir):
+    kept = substring.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed",
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @_query("op5_packing")
 def op5(spark, sf_dir):
     pieces = packing.pack(_table(spark, sf_dir, "documents"),
@@ -52,6 +99,27 @@ def op6(spark, sf_dir):
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+@_query("op7_top_k", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+           FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND
+           len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
+             AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5""")
+def op7(spark, sf_dir):
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@_query("op8_token_counts")
+def op8(spark, sf_dir):
+    return tokencount.section_tokens(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN)
+
+
 @_query("op9_language_id")
 def op9(spark, sf_dir):
     return langid.language_of(_table(spark, sf_dir, "documents"))
