@@ -56,6 +56,12 @@ def winnow(df: DataFrame, length: int) -> DataFrame:
         "prints", 1, F.greatest(F.size("words") - (length - 1), F.lit(0)))))
 
 
+def _windows(n: int) -> Column:
+    """All windows of column ``words``, which has ``n`` words or more, as texts."""
+    return F.transform(F.sequence(F.lit(1), F.size("words") - (n - 1)),
+                       lambda s: F.array_join(F.slice("words", s, n), " "))
+
+
 def _lengths(items: DataFrame, length: int) -> list[int]:
     """Window lengths that occur: at most ``length`` values."""
     n = F.least(F.size("words"), F.lit(length))
@@ -86,10 +92,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH) -
     windows = []
     for n in found:
         of = items.filter(F.size("words") >= length if n == length else F.size("words") == n)
-        windows.append(of.select("item", F.posexplode(F.transform(
-            F.sequence(F.lit(1), F.size("words") - (n - 1)),
-            lambda s, n=n: F.array_join(F.slice("words", s, n), " "))).alias("at", "window"))
-            .select(F.lit(n).alias("n"), "window", "item").distinct())
+        windows.append(of.select(F.lit(n).alias("n"), "item", F.explode(_windows(n)).alias("window"))
+                       .distinct())
         marks = stored(winnow(of, n).select(
             F.explode_outer("prints").alias("p")).select(F.shiftright("p", PLACE).alias("mark"))
             .filter("mark IS NOT NULL").distinct(), "marks")
@@ -121,7 +125,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH) -
         F.collect_set("item").alias("named")), "windows")
 
     # windows around the hits, in texts that have any
-    some = (plain.distinct().join(
+    some = (plain.join(
         places.withColumnRenamed("doc_id", "d").withColumnRenamed("row_key", "r"),
         F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("r")))
         .select("doc_id", "row_key", words(F.col("text")).alias("words"), "places"))
