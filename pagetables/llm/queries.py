@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetables.llm import (decontaminate, langid, linededup, packing, simhash, substring,
-                            tokencount, topk, toxicity)
+from pagetables.llm import (decontaminate, langid, licences, linededup, packing, simhash,
+                            substring, tokencount, topk, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +65,14 @@ def op2(spark, sf_dir):
     return found.withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
+@_query("op3_licences")
+def op3(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    found = licences.scan(docs, licences.train(docs))
+    return found.select("doc_id", "n_paragraphs", F.array_join("licences", ",").alias("licences"),
+                        "n_unconfirmed")
+
+
 @_query("op4_substring_dedup", """
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
            FROM documents),
