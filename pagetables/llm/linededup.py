@@ -160,7 +160,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedupe_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
     """All rows and columns of ``docs`` with the shortened ``text``, and ``lines_removed``,
-    ``lines_kept``.
+    ``lines_kept`` (in place of columns of these names).
 
     A line is deleted if it lies in an aligned common block with an earlier document (a
     smaller doc_id) that it is paired with; the earlier text is the one of the input. Null
@@ -170,15 +170,16 @@ def dedupe_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
     each other, and a line to delete goes from each of them at its place in the row with
     the least line hashes. An empty table gives an empty result.
     """
-    drop = stored(deletions(docs, rare), "drop").select(F.col("doc_id").alias("__d"), "drop")
-    hit = docs.join(drop, F.col("doc_id") == F.col("__d"), "left")
+    drop = stored(deletions(docs, rare), "drop").select(
+        F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
+    hit = docs.join(drop, F.col("doc_id") == F.col("__id"), "left")
     lines = _lines(F.col("text"))
-    shorter = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n")
-    removed = F.coalesce(F.size("drop"), F.lit(0))
+    shorter = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__drop", i)), "\n")
+    removed = F.coalesce(F.size("__drop"), F.lit(0))
     total = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
     return hit.select(
-        *(F.when(F.col("drop").isNull() | F.col("text").isNull(), F.col("text"))
+        *(F.when(F.col("__drop").isNull() | F.col("text").isNull(), F.col("text"))
           .otherwise(shorter).alias("text") if c == "text" else F.col(f"`{c}`")
-          for c in docs.columns),
+          for c in docs.columns if c not in ("lines_removed", "lines_kept")),
         removed.cast("bigint").alias("lines_removed"),
         (total - removed).cast("bigint").alias("lines_kept"))

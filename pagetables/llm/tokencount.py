@@ -48,7 +48,7 @@ def allocate(token_ends: np.ndarray, starts: np.ndarray, end: int, rule: str
     """Tokens of each section, and how many of these cross a boundary. Sections begin at
     ``starts``, each ends where the next one begins, the last at ``end``."""
     counts, crossing = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-    begins = np.concatenate(([0], token_ends[:-1]))
+    begins = np.concatenate(([0], token_ends))[:-1]
     first = np.searchsorted(starts, begins, side="right") - 1
     last = np.searchsorted(starts, token_ends - 1, side="right") - 1
     home = first.copy()
