@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at once.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20
 
 
 def work_dir(spark: SparkSession) -> str:

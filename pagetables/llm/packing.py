@@ -8,6 +8,7 @@ sequence length: no sequence but the last is padded.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,37 +21,87 @@ from pagetables.llm.common import by_text, in_arrow, stored
 LENGTH = 2048
 END = 1
 DIMS, BITS = 4, 10
-#: Chunks of text between blanks whose ids a Python worker remembers.
-REMEMBERED = 300_000
+#: Words whose ids a Python worker remembers: those met again, and the latest ones.
+OFTEN, LATEST = 300_000, 200_000
+
+_STOP = re.compile(r"(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,])(?=[ \n]|\Z)")
+_BEYOND = re.compile(r"[^\x00-\u024f]")
+_PROBE = "Don't  STOP, the 2nd 'Élan' of wörds.\nnow... x.y, ($5.) End."
 
 
 class ChunkTokens:
-    """Token ids of whole texts by a tokenizer that never joins text across a blank.
+    """Token ids of whole texts, word by word.
 
-    Texts are cut at blanks and line feeds; chunks met before are looked up, the others go
-    through the tokenizer. For a tokenizer that drops white space this gives what encoding
-    the whole text gives.
+    For a tokenizer that lower-cases, drops white space, never joins letters with other
+    characters and marks the end of a word, the ids of a text are those of its words end to
+    end. Texts are cut at blanks and line feeds, and a full stop or comma after a letter is
+    cut off; words met before are looked up, others go through the tokenizer together. If
+    the tokenizer does not do this with a probe, texts are encoded whole.
     """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remembered = remembered
-        self.known: dict[str, np.ndarray] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.often: dict[str, bytes] = {}
+        self.latest: dict[str, bytes] = {}
+        self.by_word = True
+        self.by_word = self.encode([_PROBE])[0].tolist() == self._whole([_PROBE])[0].tolist()
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in
+                self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        if "<|" not in text and not _BEYOND.search(text):
+            text = _STOP.sub(r" \1", text.lower())
+        return text.replace("\n", " ").split(" ")
+
+    def _encode_new(self, new: list[str]) -> dict[str, bytes]:
+        found = {}
+        plain = [w for w in new if w.isalpha()]
+        for at in range(0, len(plain), 512):
+            part = plain[at:at + 512]
+            line = " ".join(part)
+            if _BEYOND.search(line):
+                continue
+            ids = np.array(self.tokenizer.encode(line, add_special_tokens=False).ids, np.uint32)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()  # a word is one run of letters
+            if len(cuts) == len(part):
+                raw = ids.tobytes()
+                found |= zip(part, map(raw.__getitem__, map(slice, [0, *cuts], cuts)))
+        rest = [w for w in new if w not in found]
+        for at in range(0, len(rest), 4096):
+            part = rest[at:at + 4096]
+            found |= zip(part, (x.tobytes() for x in self._whole(part)))
+        return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({c for cs in chunks for c in cs if c not in known})
-        if len(known) + len(new) > self.remembered:
-            known.clear()
-            new = list({c for cs in chunks for c in cs})
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[c] = np.array(e.ids, np.uint32).tobytes()
-        return [np.frombuffer(b"".join([known[c] for c in cs]), np.uint32) for cs in chunks]
+        if not self.by_word:
+            return self._whole(texts)
+        words = [self._cut(t) for t in texts]
+        found, new = {}, []
+        for w in set().union(*words):
+            ids = self.often.get(w)
+            if ids is None and (ids := self.latest.pop(w, None)) is not None:
+                if len(self.often) >= OFTEN:
+                    self.often.clear()
+                self.often[w] = ids
+            if ids is None:
+                new.append(w)
+            else:
+                found[w] = ids
+        fresh = self._encode_new(new)
+        found |= fresh
+        if len(self.latest) + len(fresh) > LATEST:
+            self.latest.clear()
+        if len(fresh) <= LATEST:
+            self.latest |= fresh
+        return [np.frombuffer(b"".join([found[w] for w in ws]), np.uint32) for ws in words]
 
 
 _TOKENS: dict[str, ChunkTokens] = {}

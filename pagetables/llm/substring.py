@@ -30,7 +30,7 @@ LENGTH = 20
 #: Passages that one shard takes before its anchor is split by window.
 SHARD = 2000
 #: Distinct words whose hashes a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Low bits hold a place while the least hash of a window is looked for.
 PLACE = np.uint64(28)
 
