@@ -149,13 +149,15 @@ _MATRIX: dict[int, np.ndarray] = {}
 
 
 def places(ids: list[np.ndarray], vocabulary: int = 1 << 16) -> np.ndarray:
-    """Hilbert places of the texts: the mean of the tokens' random directions, squashed."""
+    """Hilbert places of the texts: the sum of their tokens' random directions, by the root
+    of their number and squashed."""
     if vocabulary not in _MATRIX:
         _MATRIX[vocabulary] = _projection(vocabulary)
-    matrix = _MATRIX[vocabulary]
-    v = np.stack([matrix[i % vocabulary].sum(axis=0, dtype=np.float64) /
-                  (np.linalg.norm(np.bincount(i % vocabulary)) or 1) for i in ids])
-    cells = ((np.tanh(v / 2) + 1) / 2 * (1 << BITS)).astype(np.int64)
+    flat = np.concatenate(ids) % vocabulary
+    sizes = np.array([len(i) for i in ids])
+    v = np.add.reduceat(_MATRIX[vocabulary][flat], np.cumsum(sizes) - sizes, axis=0)
+    v /= 2 * np.sqrt(sizes)[:, None]
+    cells = ((v / (1 + np.abs(v)) + 1) / 2 * (1 << BITS)).astype(np.int64)
     return hilbert(np.clip(cells, 0, (1 << BITS) - 1), BITS)
 
 

@@ -231,13 +231,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) ->
     """``(doc_id, first, last)``: maximal spans of words (``last`` is beyond) of one passage
     that lie in windows whose words also start earlier."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    passages = stored(_passages(docs, length), "passages")
+    # dealt by anchor once: counting and picking read the same shuffle
+    passages = _passages(docs, length).repartition("anchor")
     often = passages.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    wanted = passages.join(often, "anchor").withColumn(
-        "copies", F.when(F.col("times") > shard, F.ceil(F.col("times") / shard)).otherwise(0).cast("int"))
-    few = _contexts(docs, wanted.filter("copies = 0").drop("times"), length).withColumn(
+    wanted = stored(passages.join(often, "anchor").select(
+        "anchor", "doc_id", "start", "n", F.when(F.col("times") > shard, F.ceil(
+            F.col("times") / shard)).otherwise(0).cast("int").alias("copies")), "passages")
+    few = _contexts(docs, wanted.filter("copies = 0"), length).withColumn(
         "copy", F.lit(0)).withColumn("reference", F.lit(False))
-    many = _contexts(docs, wanted.filter("copies > 0").drop("times"), length)
+    many = _contexts(docs, wanted.filter("copies > 0"), length)
     # windows of split anchors: the first of each goes to all copies of its shard
     first = (many.groupBy("route", "words").agg(
         F.min(F.struct("doc_id", "start", "n")).alias("at"), F.max("copies").alias("copies"))
