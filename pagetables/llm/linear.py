@@ -22,11 +22,24 @@ class Sparse:
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.col], minlength=self.n)
 
+
+class Dense:
+    """The same rows as one matrix, for a bounded sample with few columns."""
+
+    def __init__(self, rows: list[np.ndarray], values: list[np.ndarray], columns: int):
+        self.n, self.columns = len(rows), columns
+        self.x = np.zeros((len(rows), columns), np.float32)
+        for i, (r, v) in enumerate(zip(rows, values)):
+            self.x[i, r] = v
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return (self.x @ w.astype(np.float32)).astype(np.float64)
+
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, self.value * r[self.row], minlength=self.columns)
+        return (r.astype(np.float32) @ self.x).astype(np.float64)
 
 
-def fit(x: Sparse, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, rounds: int = 300
+def fit(x: Sparse | Dense, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, rounds: int = 150
         ) -> tuple[np.ndarray, float]:
     """Weights and intercept of the least regularised log-loss, by accelerated gradient steps
     whose length adapts to the loss. Rows of weight 0 take no part."""

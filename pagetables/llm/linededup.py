@@ -172,7 +172,8 @@ def dedupe_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
     """
     drop = stored(deletions(docs, rare), "drop").select(
         F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
-    hit = docs.join(drop, F.col("doc_id") == F.col("__id"), "left")
+    # a merge join at every size: what is deleted grows with the corpus
+    hit = docs.join(drop.hint("merge"), F.col("doc_id") == F.col("__id"), "left")
     lines = _lines(F.col("text"))
     shorter = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__drop", i)), "\n")
     removed = F.coalesce(F.size("__drop"), F.lit(0))

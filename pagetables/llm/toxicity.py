@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetables.llm.common import by_text, in_arrow, stored
-from pagetables.llm.linear import Sparse, fit, sigmoid
+from pagetables.llm.linear import Dense, Sparse, fit, sigmoid
 
 #: Bound of the sample of labelled rows that the chain is fitted on.
-SAMPLE = 20_000
+SAMPLE = 10_000
 FOLDS = 5
 #: Words looked at by the models: those that tell most about any category, in the sample.
-WORDS = 2000
+WORDS = 300
 #: A word must be in so many sampled texts.
 LEAST_TEXTS = 5
 #: A word must be so many standard deviations from what chance gives.
@@ -114,9 +114,9 @@ def train(labelled: DataFrame, categories: list[str], sample: int = SAMPLE, fold
     odds = np.zeros((len(rows), len(categories)))
     models = []
     for j in range(len(categories)):
-        x = Sparse([np.concatenate((c, size + np.arange(j))) for c in columns],
-                   [np.concatenate((np.ones(len(c)), odds[i, :j])) for i, c in enumerate(columns)],
-                   size + j)
+        x = Dense([np.concatenate((c, size + np.arange(j))) for c in columns],
+                  [np.concatenate((np.ones(len(c)), odds[i, :j])) for i, c in enumerate(columns)],
+                  size + j)
         for f in range(folds):
             w, b = fit(x, labels[:, j], (given[:, j] & (fold != f)).astype(float), l2)
             odds[fold == f, j] = (x.dot(w) + b)[fold == f]
@@ -161,4 +161,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = (
     some = stored(wanted.filter(F.xxhash64("doc_id") <= F.lit(top)).select(
         F.col("doc_id").alias("key"), *categories), "labels")
     known = docs.select("doc_id", "text").join(some, F.col("doc_id") == F.col("key")).drop("doc_id")
-    return predict(docs, train(known, list(categories), sample * 2))
+    return predict(docs, train(known, list(categories), sample))
