@@ -65,9 +65,9 @@ def main() -> None:
         "extract_wide_text": lambda: extract.extract_wide(facts, EXTRACTED_AT),
         "explode_cells": lambda: S.explode_cells(S.explode_rows(S.explode_tables(listed))),
         "text_lines_raw_pages": lambda: S.text_lines(raw),
-        "run_listing": lambda: listing.run_listing(listed, EXTRACTED_AT),
+        "run_listing": lambda: listing.run_listing(listed, EXTRACTED_AT, work_dir=scratch),
         "dedupe_all": lambda: O.dedupe_first(records, scope="all"),
-        "page_totals": lambda: Q.page_totals(records),
+        "page_totals": lambda: Q.page_totals(records, work_dir=scratch),
         "search_records": lambda: O.search_records(records, municipality="CITY BC", min_sqft=5000),
     }
     pages = {"listed": listed.count(), "blocks": blocks.count(), "facts": facts.count(),

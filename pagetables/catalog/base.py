@@ -22,6 +22,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The session's shared folder for intermediate tables, else one in its warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or (
+        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/pagetables-work")
+
+
 def letters(key: str) -> str:
     return f"translate(CAST({key} AS VARCHAR), '0123456789', 'ABCDEFGHIJ')"
 

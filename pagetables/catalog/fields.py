@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagetables.catalog.base import LISTED, nulls, query
+from pagetables.catalog.base import EXTRACTED_AT, LISTED, nulls, query
 from pagetables.functions import fields as K
 from pagetables.functions import text as T
 from pagetables.functions.fixed import FIELD_KEYWORDS
@@ -125,6 +125,16 @@ def map_columns(spark, sf_dir):
     return mapping.map_columns(headers).select("page_id", "col_idx", "header", "field")
 
 
+@query("map1_custom_fields", LISTED + """
+SELECT page_id, row_idx, owner_name, square_footage AS area_note, homesteaded FROM shown
+WHERE seat < 25""")
+def custom_fields(spark, sf_dir):
+    """A keyword table with a field of its own: the column is there and filled."""
+    keywords = [*FIELD_KEYWORDS, ("area_note", ["sq. ft"])]
+    return extract.extract_wide(render.result_pages(spark, sf_dir), EXTRACTED_AT, keywords).select(
+        "page_id", "row_idx", "owner_name", "area_note", "homesteaded")
+
+
 @query("map1_map_columns_table", """
 WITH words AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS keyword FROM part),
 k AS (SELECT keyword, 'has ' || keyword AS field, md5(keyword) AS rank FROM words)

@@ -7,13 +7,13 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from pagetables.catalog.base import (
-    EXTRACTED_AT, FACTS, LINK, LISTED, PROSE, nulls, query,
+    EXTRACTED_AT, FACTS, LINK, LISTED, PROSE, letters, nulls, query, work_dir,
 )
 from pagetables.catalog.fields import HEADED
 from pagetables.catalog.rules import COMPACT_RECORD, SALES_SQL, first_of
 from pagetables.functions.fixed import SALES_FIELDS, WIDE_FIELDS, WIDE_PATTERNS
 from pagetables.operators import records as O
-from pagetables.plans import extract
+from pagetables.plans import extract, listing
 from pagetables.sources import render, tables
 from pagetables.streaming import stream
 
@@ -76,6 +76,37 @@ def search_records(spark, sf_dir):
 TERMS = ["widget", "ring red", "brand#1", "nothing here", "17"]
 
 
+TYPED_HEADINGS = "".join(f"<th>{h}</th>" for h in (
+    "Sale Price", "Day", "Owner Name", "Location", "Municipality", "Sq. Ft", "Type",
+    "Parcel Number"))
+
+
+@query("fl4_search_wide_type", LISTED + """
+SELECT page_id, row_idx, owner_name, municipality, homesteaded AS property_type, parcel_number
+FROM shown WHERE seat < 25 AND homesteaded = 'Y' AND municipality = 'CITY BC'""")
+def search_wide_type(spark, sf_dir):
+    pages = render.plain_table_pages(spark, sf_dir, TYPED_HEADINGS)
+    return listing.search_wide(pages, EXTRACTED_AT, property_type=" y",
+                               municipality="City BC").select(
+        "page_id", "row_idx", "owner_name", "municipality", "property_type", "parcel_number")
+
+
+@query("fl4_search_by_option", LISTED + f"""
+, o AS (SELECT 'CITY ' || {letters('n_nationkey')} AS municipality,
+   CASE n_name WHEN 'GERMANY' THEN 'germany' WHEN 'CHINA' THEN 'china' END AS term FROM nation)
+SELECT term, page_id, row_idx, municipality, parcel_number FROM shown JOIN o USING (municipality)
+WHERE term IS NOT NULL""")
+def search_by_option(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    options = nation.select(
+        F.col("n_nationkey").alias("pos"), F.concat(F.lit("City "), F.translate(
+            F.col("n_nationkey").cast("string"), "0123456789", "ABCDEFGHIJ")).alias("text"),
+        F.col("n_name").alias("value"))
+    typed = O.typed_record(sales(spark, sf_dir))
+    return O.search_by_option(typed, options, ["germany", "china"]).select(
+        "term", "page_id", "row_idx", "municipality", "parcel_number")
+
+
 @query("fl5_resolve_option", f"""
 WITH t AS (SELECT unnest({TERMS}) AS term),
 o AS (SELECT p_partkey AS pos, p_name AS text, p_brand AS value FROM part),
@@ -140,6 +171,23 @@ def extract_wide_text(spark, sf_dir):
         "page_id", "table_idx", "row_idx", *WIDE_FIELDS)
 
 
+@query("cas1_extract_wide_text_long", LISTED + f"""
+, lines AS (SELECT page_id // 3 AS g, seat, homesteaded, {FACTS} AS text,
+    CAST(row_number() OVER (PARTITION BY page_id // 3 ORDER BY page_id, seat) - 1 AS INTEGER)
+      AS row_idx FROM shown)
+SELECT g AS page_id, CAST(-1 AS INTEGER) AS table_idx, row_idx, {WIDE_TEXT}
+FROM lines WHERE seat < 25""")
+def extract_wide_text_long(spark, sf_dir):
+    """Three pages in one: more than 50 blocks on a page, all of them read."""
+    long = render.fact_pages(spark, sf_dir).groupBy(F.floor(F.col("page_id") / 3).alias("g")).agg(
+        F.min("url").alias("url"),
+        F.sort_array(F.collect_list(F.struct("page_id", "html"))).alias("parts"))
+    pages = long.select(F.col("g").alias("page_id"), "url", F.array_join(
+        F.transform("parts", lambda p: p["html"]), "").alias("html"))
+    return extract.extract_wide(pages, EXTRACTED_AT).select(
+        "page_id", "table_idx", "row_idx", *WIDE_FIELDS)
+
+
 SALES_TABLE = {**HEADED, "record_url": LINK + " || '&v=1'",
                "extraction_date": f"'{EXTRACTED_AT}'", "page_number": "page_no"}
 
@@ -201,7 +249,7 @@ SELECT page_id, CAST(1 AS INTEGER) AS table_idx, row_idx, property_address, owne
   CAST(NULL AS VARCHAR) AS year_built, CAST(NULL AS VARCHAR) AS property_value
 FROM shown ORDER BY page_id, row_idx LIMIT 2""")
 def sample(spark, sf_dir):
-    return O.sample(sales(spark, sf_dir))
+    return O.sample(sales(spark, sf_dir), url_chars=60)
 
 
 def texts(names, given, blank="''"):
@@ -212,7 +260,7 @@ def texts(names, given, blank="''"):
 SELECT {texts(SALES_FIELDS, {**SALES_TABLE, 'page_number': 'CAST(page_no AS VARCHAR)'})}
 FROM shown""")
 def write_sales_csv(spark, sf_dir):
-    path = tables.scratch_path(spark, "sales-csv")
+    path = tables.scratch_path(spark, "sales-csv", work_dir(spark))
     tables.write_sales_csv(sales(spark, sf_dir), path)
     return tables.read_csv(spark, path)
 
@@ -220,16 +268,16 @@ def write_sales_csv(spark, sf_dir):
 @query("snk2_write_wide_csv", LISTED + f"""
 SELECT {texts(WIDE_FIELDS, WIDE_TABLE)} FROM shown WHERE seat < 25""")
 def write_wide_csv(spark, sf_dir):
-    path = tables.scratch_path(spark, "wide-csv")
+    path = tables.scratch_path(spark, "wide-csv", work_dir(spark))
     records = extract.extract_wide(render.result_pages(spark, sf_dir), EXTRACTED_AT)
-    tables.write_wide_csv(records, path, ordered=True)
+    tables.write_wide_csv(records, path, ordered=True, work_dir=work_dir(spark))
     return tables.read_csv(spark, path).toDF(*WIDE_FIELDS)
 
 
 @query("snk3_write_json", LISTED + f"""
 SELECT {texts(WIDE_FIELDS, WIDE_TABLE)} FROM shown WHERE seat < 25""")
 def write_json(spark, sf_dir):
-    path = tables.scratch_path(spark, "json")
+    path = tables.scratch_path(spark, "json", work_dir(spark))
     records = extract.extract_wide(render.result_pages(spark, sf_dir), EXTRACTED_AT)
     tables.write_json(records, path)
     return spark.read.schema(", ".join(f"{f} string" for f in WIDE_FIELDS)).json(path)
@@ -238,23 +286,26 @@ def write_json(spark, sf_dir):
 @query("snk4_write_run", LISTED + f"""
 SELECT {texts(SALES_CORE, HEADED)}, '20240102_030405' AS run_ts FROM shown""")
 def write_run(spark, sf_dir):
-    folder = tables.write_run(sales(spark, sf_dir), tables.scratch_path(spark, "runs"), AT)
+    folder = tables.write_run(sales(spark, sf_dir), tables.scratch_path(spark, "runs", work_dir(spark)), AT)
     return spark.read.parquet(folder).select(*SALES_CORE, "run_ts")
 
 
-@query("snk5_empty_result", LISTED + f"""
-SELECT {texts(SALES_CORE, HEADED)} FROM shown WHERE municipality = 'NOWHERE'""")
+@query("snk5_empty_result", f"""
+SELECT '{",".join(SALES_FIELDS)}' AS header, CAST(0 AS BIGINT) AS n_records""")
 def empty_result(spark, sf_dir):
-    path = tables.scratch_path(spark, "empty")
+    """The header survives and the file reads back with its schema and without records."""
+    path = tables.scratch_path(spark, "empty", work_dir(spark))
     found = O.search_records(sales(spark, sf_dir), municipality="nowhere")
     tables.write_sales_csv(found, path)
-    names = ", ".join(f"{f} string" for f in SALES_FIELDS)
-    return spark.read.schema(names).option("header", True).csv(path).select(*SALES_CORE)
+    read = tables.read_csv(spark, path)
+    lines = spark.read.text(path).select(F.col("value").alias("header")).distinct()
+    return lines.join(read.select(*SALES_FIELDS).agg(F.count(F.lit(1)).alias("n_records")),
+                      F.length("header") > 0)
 
 
 def stored_pages(spark, sf_dir):
     """Rendered pages as files in a folder, for the streams."""
-    folder = tables.scratch_path(spark, "arriving")
+    folder = tables.scratch_path(spark, "arriving", work_dir(spark))
     pages = render.result_pages(spark, sf_dir)
     pages.write.parquet(folder)
     return folder, pages.schema
@@ -267,7 +318,7 @@ def incremental_save(spark, sf_dir):
     arriving = stream.read_pages_stream(spark, folder, schema, files_per_batch=50)
     records = extract.extract_sales(arriving, EXTRACTED_AT).select(
         "page_id", "row_idx", *SALES_CORE)
-    out = tables.scratch_path(spark, "saved")
+    out = tables.scratch_path(spark, "saved", work_dir(spark))
     stream.append_records(records, f"{out}/data", f"{out}/log").awaitTermination()
     return spark.read.schema(records.schema).parquet(f"{out}/data")
 
@@ -278,8 +329,25 @@ def dedupe_stream(spark, sf_dir):
     folder, schema = stored_pages(spark, sf_dir)
     arriving = stream.read_pages_stream(spark, folder, schema)
     records = extract.extract_sales(arriving, EXTRACTED_AT)
-    first = stream.dedupe_stream(records).select("property_address", "parcel_number", "owner_name")
-    out = tables.scratch_path(spark, "distinct")
+    first = stream.dedupe_stream(records, unbounded_state=True)
+    return saved(spark, first.select("property_address", "parcel_number", "owner_name"))
+
+
+def saved(spark, first):
+    out = tables.scratch_path(spark, "distinct", work_dir(spark))
     stream.append_records(first, f"{out}/data", f"{out}/log").awaitTermination()
     return spark.read.schema(first.schema).parquet(f"{out}/data")
 
+
+@query("str1_dedupe_stream_watermark", LISTED + """
+SELECT DISTINCT page_id, property_address, parcel_number, owner_name, sale_price FROM shown""")
+def dedupe_stream_watermark(spark, sf_dir):
+    """Copies within a page are whole, so the surviving record can be told."""
+    folder, schema = stored_pages(spark, sf_dir)
+    arriving = stream.read_pages_stream(spark, folder, schema, files_per_batch=50)
+    records = extract.extract_sales(arriving, EXTRACTED_AT).withColumn(
+        "arrived", F.col("extraction_date").cast("timestamp"))
+    first = stream.dedupe_stream(records, scope="page", arrival="arrived")
+    return saved(spark, first.select("page_id", "property_address", "parcel_number",
+                                     "owner_name", "sale_price"))
+

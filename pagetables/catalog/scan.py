@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagetables.catalog.base import FACTS, LINK, LISTED, PROSE, query
+from pagetables.catalog.base import FACTS, LINK, LISTED, PROSE, query, work_dir
 from pagetables.functions.html import stored_text
 from pagetables.operators import scan as S
 from pagetables.operators import structure
@@ -34,7 +34,7 @@ def read_pages_stream(spark, sf_dir):
     arriving = stream.read_pages_stream(spark, sf_dir, glob="pages.parquet")
     titled = structure.is_results_page(arriving).select(
         "page_id", "url", (F.col("title") == "").alias("untitled"))
-    out = tables.scratch_path(spark, "stream")
+    out = tables.scratch_path(spark, "stream", work_dir(spark))
     stream.append_records(titled, f"{out}/data", f"{out}/log").awaitTermination()
     return spark.read.schema("page_id bigint, url string, untitled boolean").parquet(f"{out}/data")
 
@@ -266,6 +266,6 @@ SELECT page_id, CAST(b - 1 AS INTEGER) AS block_idx, block FROM copies WHERE b <
 def block_limit(spark, sf_dir):
     texts = S.page_text(render.fact_pages(spark, sf_dir))
     thrice = texts.withColumn("text", F.repeat("text", F.lit(3)))
-    return S.explode_array(thrice, ["page_id"], S.blocks_of_text(F.col("text")),
+    return S.explode_array(thrice, ["page_id"], S.blocks_of_text(F.col("text"), 50),
                            "block_idx", "block")
 

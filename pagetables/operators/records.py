@@ -37,7 +37,7 @@ INTEGER_FIELDS = ["square_footage", "lot_size", "year_built"]
 
 def typed_record(records: DataFrame) -> DataFrame:
     """Add typed columns ``*_num``, ``*_int``, ``sale_date_value`` and ``homesteaded_flag``
-    beside the raw text; text that does not parse gives NULL."""
+    beside the raw text, and ``*_key`` for searches; text that does not parse gives NULL."""
     names = records.columns
     typed = {f"{n}_num": T.money(F.col(n)) for n in MONEY_FIELDS if n in names}
     typed |= {f"{n}_int": T.integer(F.col(n)) for n in INTEGER_FIELDS if n in names}
@@ -45,20 +45,36 @@ def typed_record(records: DataFrame) -> DataFrame:
         typed["sale_date_value"] = T.date_value(F.col("sale_date"))
     if "homesteaded" in names:
         typed["homesteaded_flag"] = T.flag(F.col("homesteaded"))
+    typed |= {f"{n}_key": search_key(F.col(n)) for n in KEY_FIELDS if n in names}
     return records.withColumns(typed)
 
 
+#: Fields that searches compare without regard to case and blanks at the ends.
+KEY_FIELDS = ["property_type", "municipality"]
+
+
+def search_key(text: Column) -> Column:
+    return F.lower(T.strip(text))
+
+
 def search_records(typed: DataFrame, property_type: str | None = None,
                    municipality: str | None = None,
                    min_sqft: int | None = None, max_sqft: int | None = None,
                    min_value=None, max_value=None,
                    date_from=None, date_to=None) -> DataFrame:
-    """Records that meet every given criterion; a criterion that is None, or whose column
-    the records lack, is not applied. On stored typed records the criteria are pushed
-    into the scan."""
+    """Records that meet every given criterion; one that is None is not applied, one whose
+    column the records lack raises ``ValueError``. On stored typed records every criterion
+    is a plain comparison of a column, which is pushed into the scan."""
+    def keyed(name):
+        key = f"{name}_key"
+        return (key, lambda c, v: c == v.strip().lower()) if key in typed.columns else (
+            name, lambda c, v: search_key(c) == v.strip().lower())
+
+    type_column, type_test = keyed("property_type")
+    town_column, town_test = keyed("municipality")
     criteria = [
-        ("property_type", property_type, lambda c, v: F.lower(c) == v.lower()),
-        ("municipality", municipality, lambda c, v: F.lower(c) == v.lower()),
+        (type_column, property_type, type_test),
+        (town_column, municipality, town_test),
         ("square_footage_int", min_sqft, lambda c, v: c >= v),
         ("square_footage_int", max_sqft, lambda c, v: c <= v),
         ("sale_price_num", min_value, lambda c, v: c >= F.lit(v).cast("decimal(18,2)")),
@@ -66,8 +82,10 @@ def search_records(typed: DataFrame, property_type: str | None = None,
         ("sale_date_value", date_from, lambda c, v: c >= F.lit(v).cast("date")),
         ("sale_date_value", date_to, lambda c, v: c <= F.lit(v).cast("date")),
     ]
-    applied = [test(F.col(n), v) for n, v, test in criteria
-               if v is not None and n in typed.columns]
+    given = [(n, v, test) for n, v, test in criteria if v is not None]
+    if missing := sorted({n for n, _, _ in given if n not in typed.columns}):
+        raise ValueError(f"the records have no column {', '.join(missing)}")
+    applied = [test(F.col(n), v) for n, v, test in given]
     return typed.filter(reduce(Column.__and__, applied)) if applied else typed
 
 
@@ -96,6 +114,17 @@ def resolve_option(options: DataFrame, terms: list[str]) -> DataFrame:
     return first.select("term", "m.tier", "m.pos", "m.text", "m.value")
 
 
+def search_by_option(typed: DataFrame, options: DataFrame, terms: list[str],
+                     field: str = "municipality") -> DataFrame:
+    """Records whose ``field`` is the text of the option that a term selects, with ``term``;
+    an equi-join on the key, so that either side may be large."""
+    chosen = resolve_option(options, terms).select(
+        "term", search_key(F.col("text")).alias(f"{field}_key"))
+    keyed = typed if f"{field}_key" in typed.columns else typed.withColumn(
+        f"{field}_key", search_key(F.col(field)))
+    return keyed.join(chosen, f"{field}_key")
+
+
 def dedupe_keys() -> list[Column]:
     def key(name, lower):
         c = F.trim(F.coalesce(F.col(name), F.lit("")))
@@ -122,9 +151,12 @@ def dedupe_first(records: DataFrame, scope: str = "page",
         .drop("rank", *names)
 
 
-def sample(records: DataFrame, n: int = 2, order: list[str] = POSITION) -> DataFrame:
-    """The first ``n`` records with the key fields; blanks are NULL."""
+def sample(records: DataFrame, n: int = 2, order: list[str] = POSITION,
+           url_chars: int | None = None) -> DataFrame:
+    """The first ``n`` records with the key fields; blanks are NULL. ``url_chars`` cuts the
+    address for display."""
+    url = F.col("record_url") if url_chars is None else F.substring("record_url", 1, url_chars)
     shown = [c for c in SAMPLE_FIELDS if c in records.columns]
     return records.orderBy(*order).limit(n).select(
         *order, *[T.nonblank(T.strip(F.col(c))).alias(c) for c in shown],
-        F.substring("record_url", 1, 60).alias("record_url"))
+        url.alias("record_url"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagetables.functions import html as H
 from pagetables.functions.fixed import (
-    BLOCK_MIN_CHARS, BLOCKS_PER_PAGE, DETAIL_LINK_WORDS, RESULT_ROW_TEXT, RESULTS_TABLE_WORDS,
+    BLOCK_MIN_CHARS, DETAIL_LINK_WORDS, RESULT_ROW_TEXT, RESULTS_TABLE_WORDS,
     TEXT_BLOCK_SPLIT, TEXT_BLOCK_WORDS,
 )
 from pagetables.functions.text import contains_any, let, strip
@@ -151,18 +151,19 @@ def page_text(pages: DataFrame, layout: bool = False) -> DataFrame:
     return marked.withColumn("text", text(F.col("marked"))).drop("marked")
 
 
-def blocks_of_text(text):
-    """The first blocks of a text that are long enough and name a property word."""
+def blocks_of_text(text, limit: int | None = None):
+    """The blocks of a text that are long enough and name a property word; with ``limit``
+    the first of them."""
     trimmed = F.transform(F.split(text, TEXT_BLOCK_SPLIT), strip)
     wanted = F.filter(trimmed, lambda b: (F.length(b) > BLOCK_MIN_CHARS)
                       & contains_any(F.lower(b), TEXT_BLOCK_WORDS))
-    return F.slice(wanted, 1, BLOCKS_PER_PAGE)
+    return wanted if limit is None else F.slice(wanted, 1, limit)
 
 
-def text_blocks(pages: DataFrame) -> DataFrame:
+def text_blocks(pages: DataFrame, limit: int | None = None) -> DataFrame:
     texts = page_text(pages)
     keys = [c for c in texts.columns if c != "text"]
-    return explode_array(texts, keys, blocks_of_text(F.col("text")), "block_idx", "block")
+    return explode_array(texts, keys, blocks_of_text(F.col("text"), limit), "block_idx", "block")
 
 
 def text_lines(pages: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A run (``source``) may hold a large share of all pages, so nothing here sorts or gathers a
 whole run in one task: limits per run are partially aggregated, positions and running
-totals are built from buckets of page numbers, and per-run limits meet the pages in a
-salted join.
+totals are built from buckets between quantiles of the page numbers, and per-run limits
+meet the pages in a plain join, which Spark broadcasts if the limits are few and splits
+where a run is large.
 
 ``facts`` are rows of one page each: ``source, page_no`` and, where a rule needs them,
 ``n_records, has_next, total_pages``. The rules read them several times, so facts that come
@@ -24,13 +25,15 @@ from pagetables.operators.scan import mark_pages
 from pagetables.sources.tables import materialise
 
 BUCKET = 10_000
-SALTS = 32
+#: Quantiles of a run that its buckets are cut at.
+QUANTILES = 1000
 
 
-def page_number_range(number: Column) -> Column:
-    """``number`` as an integer if it is a plausible page number, else NULL."""
+def page_number_range(number: Column, most: int | None = MAX_PAGE_NUMBER) -> Column:
+    """``number`` as an integer if it is a plausible page number, else NULL. Texts of links
+    are plausible up to ``most``; None leaves the upper end open."""
     n = number.try_cast("int")
-    return F.when(n.between(1, MAX_PAGE_NUMBER), n)
+    return F.when(n >= 1 if most is None else n.between(1, most), n)
 
 
 # --- per page ------------------------------------------------------------------------
@@ -46,9 +49,22 @@ def _pagers(page: Column) -> Column:
         F.array().cast("array<string>"))
 
 
+def _shown_in_pagers(page: Column, pattern: str, group: int) -> Column:
+    """First number that a pagination container shows in the given form."""
+    return F.get(F.filter(F.transform(_pagers(page), lambda c: find(
+        H.body_text(c), pattern, group, ignore_case=True).try_cast("int")),
+        lambda n: n.isNotNull()), F.lit(0))
+
+
+def _outside_tables(page: Column) -> Column:
+    """Text of a page without its tables: what a data cell says is no page count."""
+    return H.body_text(F.regexp_replace(
+        page, rf"(?is){H.OPEN}table\b.*?(?:{H.OPEN}/table\b[^{H.SHUT}]*{H.SHUT}|$)", " "))
+
+
 def total_pages_of(page: Column) -> Column:
-    """Total shown on a page: 'X of Y', 'X/Y' (no date), else the highest page number among
-    the links and in the pagination containers."""
+    """Total shown on a page: 'X of Y' or 'X/Y' (no date) in a pagination container, 'X of Y'
+    outside tables, else the highest page number among the links and in the containers."""
     links = F.array_max(F.transform(
         F.filter(H.tags(page), lambda t: t["tag"].rlike(r"(?i)^a\b")
                  & t["text"].rlike("^[0-9]{1,3}$")),
@@ -56,10 +72,10 @@ def total_pages_of(page: Column) -> Column:
     pagers = F.array_max(F.transform(
         F.flatten(F.transform(_pagers(page), lambda c: find_all(
             H.inner_text(c), r"\b(\d+)\b", 1))), page_number_range))
-    return let(H.body_text(page), lambda text: F.coalesce(
-        find(text, PAGE_OF, 2, ignore_case=True).try_cast("int"),
-        find(text, PAGE_SLASH, 2).try_cast("int"),
-        F.greatest(links, pagers)))
+    return F.coalesce(
+        _shown_in_pagers(page, PAGE_OF, 2), _shown_in_pagers(page, PAGE_SLASH, 2),
+        find(_outside_tables(page), PAGE_OF, 2, ignore_case=True).try_cast("int"),
+        F.greatest(links, pagers))
 
 
 def current_page_of(page: Column, url: Column) -> Column:
@@ -83,8 +99,9 @@ def current_page_of(page: Column, url: Column) -> Column:
     return F.coalesce(
         let(H.tags(page), lambda t: F.coalesce(numbered(t, "span"), numbered(t, "a"))),
         item, in_pager,
-        find(H.body_text(page), PAGE_OF, 1, ignore_case=True).try_cast("int"),
-        page_number_range(F.regexp_extract(url, r"[?&]page=([0-9]+)", 1)))
+        _shown_in_pagers(page, PAGE_OF, 1),
+        find(_outside_tables(page), PAGE_OF, 1, ignore_case=True).try_cast("int"),
+        page_number_range(F.regexp_extract(url, r"[?&]page=([0-9]+)", 1), None))
 
 
 def next_link_of(page: Column, page_no: Column) -> Column:
@@ -96,7 +113,7 @@ def _next_link(page: Column, following: Column) -> Column:
     def attr(t, name, word):
         return t["tag"].rlike(rf"(?s)^{H.attribute_contains(name, word)}")
 
-    def candidate(t, i):
+    def candidate(tags, t, i):
         def named(name):
             return t["tag"].rlike(rf"(?i)^{name}\b")
         off = t["tag"].rlike(r"(?i)^(?:button|input)\b.*\bdisabled\b")
@@ -112,10 +129,15 @@ def _next_link(page: Column, following: Column) -> Column:
                 .when(titled & named("a"), 7)
                 .when(says_next & attr(t, "class", "next"), 8)
                 .when(says_next & attr(t, "id", "next"), 9))
+        # an element marked as next may hold the link instead of being it
+        inner = F.get(tags, i + 1)["tag"]
+        href = F.coalesce(H.attribute(t["tag"], "href"), F.when(
+            rank.isin(8, 9) & inner.rlike(r"(?i)^a\b"), H.attribute(inner, "href")))
         return let(rank, lambda r: F.when(r.isNotNull(), F.struct(
-            r.alias("rank"), i.alias("pos"), H.attribute(t["tag"], "href").alias("href"))))
+            r.alias("rank"), i.alias("pos"), href.alias("href"))))
 
-    return F.array_min(F.transform(H.tags(page), candidate))
+    return let(H.tags(page), lambda tags: F.array_min(F.transform(
+        tags, lambda t, i: candidate(tags, t, i))))
 
 
 def total_pages(pages: DataFrame) -> DataFrame:
@@ -135,10 +157,11 @@ def current_page(pages: DataFrame, source: str | None = None) -> DataFrame:
 
 
 def number_pages(pages: DataFrame, source: str) -> DataFrame:
-    """Give pages whose ``page_no`` is NULL their position in the run by ``page_id``."""
-    placed = positions(pages.select(source, "page_id"), source, "page_id").select(
-        "page_id", F.col("pos").cast("int").alias("_pos"))
-    return pages.join(placed, "page_id").withColumn(
+    """Give pages whose ``page_no`` is NULL their position in the run by ``page_id``. Only
+    these pages meet their positions; the others keep what they have."""
+    placed = positions(pages.select(source, "page_id", "page_no"), source, "page_id").filter(
+        "page_no is null").select("page_id", F.col("pos").cast("int").alias("_pos"))
+    return pages.join(placed, "page_id", "left").withColumn(
         "page_no", F.coalesce("page_no", "_pos")).drop("_pos")
 
 
@@ -155,10 +178,12 @@ def next_link(pages: DataFrame) -> DataFrame:
 
 def follow_next(pages: DataFrame) -> DataFrame:
     """``next_page_id``: the stored page that the next link leads to, the first one if the
-    address is stored more than once. Pages without a link get a key of their own, so that
-    they are not gathered under NULL."""
+    address is stored more than once. Pages without a link, or with one that is no web
+    address (script links are alike on all pages), get a key of their own, so that they are
+    not gathered under one."""
     linked = next_link(pages).withColumn("_key", F.coalesce(
-        "next_url", F.concat(F.lit("no link "), F.col("page_id").cast("string"))))
+        F.when(F.col("next_url").rlike("(?i)^https?://"), F.col("next_url")),
+        F.concat(F.lit("no link "), F.col("page_id").cast("string"))))
     targets = pages.groupBy(F.col("url").alias("_key")).agg(
         F.min("page_id").alias("next_page_id"))
     return linked.join(targets, "_key", "left").drop("_key")
@@ -166,21 +191,34 @@ def follow_next(pages: DataFrame) -> DataFrame:
 
 # --- per run: positions and totals ------------------------------------------------------
 
+def in_buckets(df: DataFrame, source: str, order: str, bucket: int = BUCKET) -> DataFrame:
+    """``_b``: number of the row's bucket in its source.
+
+    Each source is cut at quantiles of ``order`` into about one bucket per ``bucket`` rows
+    (of more than ``QUANTILES`` buckets neighbours are merged), so that numbers far from the
+    others do not gather the rest in one bucket.
+    """
+    at = F.col(order).cast("double")
+    quantiles = [i / QUANTILES for i in range(1, QUANTILES)]
+    cuts = df.groupBy(source).agg(
+        F.percentile_approx(at, quantiles, QUANTILES * 10).alias("_all"),
+        F.least(F.ceil(F.count(F.lit(1)) / bucket), F.lit(QUANTILES)).cast("int").alias("_n"))
+    cuts = cuts.select(source, F.array_distinct(F.transform(
+        F.when(F.col("_n") > 1, F.sequence(F.lit(1), F.col("_n") - 1)).otherwise(
+            F.array().cast("array<int>")),
+        lambda i: F.get("_all", (i * QUANTILES / F.col("_n")).cast("int") - 1))).alias("_cuts"))
+    return with_run_limit(df, cuts, source) \
+        .withColumn("_b", F.size(F.filter("_cuts", lambda c: c < at))).drop("_cuts")
+
+
 def running_total(df: DataFrame, source: str, order: str, value: Column, name: str,
                   bucket: int = BUCKET) -> DataFrame:
     """``name``: sum of ``value`` over the rows of a source up to this one by ``order``, a
     number that is unique in the source.
 
-    The range of ``order`` in each source is cut into about one bucket per ``bucket`` rows;
-    sums are taken per bucket, and only the bucket sums are ordered over a whole source.
+    Sums are taken per bucket, and only the bucket sums are ordered over a whole source.
     """
-    at = F.col(order).cast("double")
-    spans = df.groupBy(source).agg(
-        F.min(at).alias("_lo"),
-        ((F.max(at) - F.min(at) + 1) / F.ceil(F.count(F.lit(1)) / bucket)).alias("_width"))
-    staged = with_run_limit(df, spans, source, order) \
-        .withColumn("_b", F.floor((at - F.col("_lo")) / F.col("_width"))) \
-        .withColumn("_v", value).drop("_lo", "_width")
+    staged = in_buckets(df, source, order, bucket).withColumn("_v", value)
     sums = staged.groupBy(source, "_b").agg(F.sum("_v").alias("_s"))
     earlier = Window.partitionBy(source).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(source, "_b", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_o"))
@@ -196,12 +234,10 @@ def positions(df: DataFrame, source: str = "source", order: str = "page_no",
     return running_total(df, source, order, F.lit(1), "pos", bucket)
 
 
-def with_run_limit(df: DataFrame, limits: DataFrame, source: str, spread_by: str,
-                   salts: int = SALTS) -> DataFrame:
-    """Left join of one row per source; a large source is spread over ``salts`` keys."""
-    salted = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return df.withColumn("_salt", F.pmod(F.hash(spread_by), F.lit(salts))) \
-        .join(salted, [source, "_salt"], "left").drop("_salt")
+def with_run_limit(df: DataFrame, limits: DataFrame, source: str) -> DataFrame:
+    """Left join of one row per source. Spark broadcasts the limits if they are few; else
+    it may split the rows of a large source, whose limit is a single row."""
+    return df.join(limits, source, "left")
 
 
 # --- per run: where to stop --------------------------------------------------------------
@@ -215,7 +251,7 @@ def page_limits(facts: DataFrame, source: str = "source", max_pages: int = MAX_P
 
 
 def page_limit(facts: DataFrame, source: str = "source", max_pages: int = MAX_PAGES) -> DataFrame:
-    limited = with_run_limit(facts, page_limits(facts, source, max_pages), source, "page_no")
+    limited = with_run_limit(facts, page_limits(facts, source, max_pages), source)
     return limited.filter(F.col("page_no").between(F.col("first_page"), F.col("last_page"))) \
         .drop("first_page", "last_page")
 
@@ -235,7 +271,7 @@ def empty_run_stops(facts: DataFrame, source: str = "source", run: int = EMPTY_R
 def stop_after_empty_run(facts: DataFrame, source: str = "source",
                          run: int = EMPTY_RUN) -> DataFrame:
     """Pages up to the end of the first run of empty pages."""
-    stopped = with_run_limit(facts, empty_run_stops(facts, source, run), source, "page_no")
+    stopped = with_run_limit(facts, empty_run_stops(facts, source, run), source)
     return stopped.filter("empty_stop is null or page_no <= empty_stop").drop("empty_stop")
 
 
@@ -246,32 +282,41 @@ def no_next_stops(facts: DataFrame, source: str = "source") -> DataFrame:
 
 def stop_without_next(facts: DataFrame, source: str = "source") -> DataFrame:
     """Pages up to the first that has no next link."""
-    stopped = with_run_limit(facts, no_next_stops(facts, source), source, "page_no")
+    stopped = with_run_limit(facts, no_next_stops(facts, source), source)
     return stopped.filter("no_next_stop is null or page_no <= no_next_stop").drop("no_next_stop")
 
 
-def visit_limits(facts: DataFrame, source: str = "source", max_pages: int = MAX_PAGES,
-                 run: int = EMPTY_RUN) -> DataFrame:
-    """First and last page that each run visits under all stop rules. Each rule keeps a
-    prefix of the run, so the tightest one decides."""
-    return page_limits(facts, source, max_pages) \
-        .join(no_next_stops(facts, source), source, "left") \
-        .join(empty_run_stops(facts, source, run), source, "left") \
-        .select(source, "first_page", F.least(
-            "last_page", "no_next_stop", "empty_stop").alias("last_page"))
+def visit_limits(facts: DataFrame, source: str = "source", max_pages: int | None = MAX_PAGES,
+                 run: int | None = EMPTY_RUN, without_next: bool = True) -> DataFrame:
+    """First and last page that each run visits under the given stop rules. Each rule keeps
+    a prefix of the run, so the tightest one decides; the limit of pages, the total shown
+    and the first page without a next link come from one aggregate."""
+    stops = [F.max("total_pages")]
+    if max_pages is not None:
+        stops.append(F.lit(max_pages))
+    if without_next:
+        stops.append(F.min(F.when(~F.col("has_next"), F.col("page_no"))))
+    limits = facts.groupBy(source).agg(
+        F.min("page_no").alias("first_page"),
+        (F.least(*stops) if len(stops) > 1 else stops[0]).alias("last_page"))
+    if run is None:
+        return limits
+    return limits.join(empty_run_stops(facts, source, run), source, "left").select(
+        source, "first_page", F.least("last_page", "empty_stop").alias("last_page"))
 
 
 def page_set(facts: DataFrame, source: str = "source", max_pages: int = MAX_PAGES,
              run: int = EMPTY_RUN) -> DataFrame:
     """Pages a run visits under all stop rules; the pages are joined once."""
-    bounded = with_run_limit(facts, visit_limits(facts, source, max_pages, run), source, "page_no")
+    bounded = with_run_limit(facts, visit_limits(facts, source, max_pages, run), source)
     return bounded.filter(F.col("page_no").between(F.col("first_page"), F.col("last_page"))) \
         .drop("first_page", "last_page")
 
 
-def page_totals(records: DataFrame, source: str = "source", page: str = "page_number") -> DataFrame:
+def page_totals(records: DataFrame, source: str = "source", page: str = "page_number",
+                work_dir: str | None = None) -> DataFrame:
     """Records per page and running total of the run. The counts are stored first, since
     the total reads them more than once and records may be costly to extract."""
     counts = materialise(records.groupBy(source, page).agg(
-        F.count(F.lit(1)).alias("n_records")), "page-counts")
+        F.count(F.lit(1)).alias("n_records")), "page-counts", work_dir)
     return running_total(counts, source, page, F.col("n_records"), "running_total")

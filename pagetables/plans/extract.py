@@ -102,8 +102,13 @@ def _text_column(whole_word):
 
 
 @built_once
-def _wide_column():
-    return _dedupe_in_page(_wide_records(F.col("_units")))
+def _wide_column(more=()):
+    return _dedupe_in_page(_wide_records(F.col("_units"), more))
+
+
+def own_fields(keywords) -> tuple[str, ...]:
+    """Fields of a keyword table beyond the built-in ones, in the order of the table."""
+    return tuple(dict.fromkeys(f for f, _ in keywords or () if f not in WIDE_FIELDS))
 
 
 def sales_records(pages: DataFrame, whole_word: bool = False) -> DataFrame:
@@ -163,7 +168,7 @@ def _wide_table_units(results, keywords):
     return F.filter(units, lambda u: H.data_cell_count(u["fragment"]) > 0)
 
 
-def _wide_records(units):
+def _wide_records(units, more=()):
     no_fields = F.array().cast("array<string>")
 
     def record(u):
@@ -171,11 +176,12 @@ def _wide_records(units):
         text = F.when(is_text, u["fragment"]).otherwise(H.inner_text(u["fragment"]))
         texts = F.when(F.size(u["fields"]) > 0, F.transform(
             H.data_cells(u["fragment"]), clean_text)).otherwise(no_fields)
-        mapped = let(texts, lambda t: K.assign_mapped(u["fields"], t))
+        mapped = let(texts, lambda t: K.assign_mapped(
+            u["fields"], t, [*K.MAPPED_FIELDS, *more]))
         return let(mapped, lambda m: let(text, lambda x: let(
             R.wide_record(m, x, K.MAPPED_FIELDS), lambda r: F.struct(
                 u["table_idx"].alias("table_idx"), u["row_idx"].alias("row_idx"),
-                *[r[n].alias(n) for n in K.MAPPED_FIELDS],
+                *[r[n].alias(n) for n in K.MAPPED_FIELDS], *[m[n].alias(n) for n in more],
                 F.when(~is_text, H.first_href(u["fragment"])).alias("href"),
                 F.when(is_text, truncate_info(u["fragment"])).alias("additional_info")))))
 
@@ -196,9 +202,11 @@ def _dedupe_in_page(records):
         lambda x: x["r"]))
 
 
-def wide_records(pages: DataFrame, keywords=None) -> DataFrame:
+def wide_records(pages: DataFrame, keywords=None, block_limit: int | None = None) -> DataFrame:
     """Pages with ``structure_type`` and ``records``: by structure from results tables,
-    result rows or text blocks; per page the first record of each key."""
+    result rows or text blocks (``block_limit`` of a page at most, if given); per page the
+    first record of each key. Fields that only ``keywords`` has are filled from columns."""
+    more = own_fields(keywords)
     keywords = keywords or K.FIELD_KEYWORDS
     none = F.array().cast("array<string>")
     staged = mark_pages(pages).withColumn("_all_tables", H.tables(F.col("marked")))
@@ -216,17 +224,20 @@ def wide_records(pages: DataFrame, keywords=None) -> DataFrame:
                  "_result_rows", lambda r: _wide_unit(
                      r["table_idx"], r["row_idx"], none, r["row"])).cast(WIDE_UNIT))
              .otherwise(F.transform(
-                 blocks_of_text(H.stored_text(F.col("marked"))),
+                 blocks_of_text(H.stored_text(F.col("marked")), block_limit),
                  lambda b, i: _wide_unit(F.lit(-1), i, none, b)).cast(WIDE_UNIT)))
     staged = staged.withColumn("_units", units)
-    return staged.withColumn("records", _wide_column()) \
+    return staged.withColumn("records", _wide_column(more)) \
         .drop("marked", "_all_tables", "_results", "_result_rows", "_units")
 
 
-def extract_wide(pages: DataFrame, extracted_at, keywords=None) -> DataFrame:
+def extract_wide(pages: DataFrame, extracted_at, keywords=None,
+                 block_limit: int | None = None) -> DataFrame:
     """Wide records of all pages, with ``page_id``, ``table_idx``, ``row_idx`` and the
-    other page columns. ``keywords`` replaces the header keyword table."""
-    found = wide_records(pages, keywords)
+    other page columns. ``keywords`` replaces the header keyword table; fields of its own
+    become columns after the others. All text blocks of a page are read unless
+    ``block_limit`` is given."""
+    found = wide_records(pages, keywords, block_limit)
     keys = [c for c in found.columns if c not in ("records", "structure_type")]
     rows = explode_array(found, keys, F.col("records"), "pos", "r")
     given = {n: F.col(f"r.{n}") for n in K.MAPPED_FIELDS}
@@ -234,4 +245,5 @@ def extract_wide(pages: DataFrame, extracted_at, keywords=None) -> DataFrame:
     given["additional_info"] = F.col("r.additional_info")
     given["extraction_date"] = extraction_date(extracted_at)
     return rows.select(*keys, "r.table_idx", "r.row_idx",
-                       *[given.get(n, no_text()).alias(n) for n in WIDE_FIELDS])
+                       *[given.get(n, no_text()).alias(n) for n in WIDE_FIELDS],
+                       *[F.col(f"r.{n}").alias(n) for n in own_fields(keywords)])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import datetime
 
@@ -14,18 +13,25 @@ from pagetables.functions.fixed import FRIENDLY_HEADINGS, SALES_FIELDS, WIDE_FIE
 PAGES_SCHEMA = "page_id bigint, url string, html string"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster; a temporary one in a session that
-    names none, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagetables-")
+def scratch_path(spark: SparkSession, name: str, work_dir: str | None = None) -> str:
+    """A new path in ``work_dir``, by default the folder that ``spark.checkpoint.dir`` names.
+
+    The folder must be one that the driver and all executors share, so there is no other
+    default: without either this raises ``ValueError``.
+    """
+    root = work_dir or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("intermediate tables need a shared folder: give work_dir or set "
+                         "spark.checkpoint.dir")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, work_dir: str | None = None) -> DataFrame:
     """Write once to the shared folder and read back: cuts the lineage, keeps columns
-    prunable, and survives the loss of executors."""
+    prunable, and survives the loss of executors. The table stays until the caller empties
+    the folder, since what is read from it is evaluated later."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_path(spark, name, work_dir)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -61,27 +67,29 @@ def _write_csv(df: DataFrame, path: str, header: bool = True, line_end: str = "\
      .option("lineSep", line_end).csv(path))
 
 
-def _in_page_order(records: DataFrame, ordered: bool) -> DataFrame:
+def _in_page_order(records: DataFrame, ordered: bool, work_dir: str | None) -> DataFrame:
     """A range sort reads its input twice, once to sample it; the records are stored first
     so that they are extracted once."""
     order = [c for c in ("page_id", "table_idx", "row_idx") if c in records.columns]
-    return materialise(records, "unordered").orderBy(*order) if ordered and order else records
+    if not (ordered and order):
+        return records
+    return materialise(records, "unordered", work_dir).orderBy(*order)
 
 
 def write_sales_csv(records: DataFrame, path: str, ordered: bool = False,
-                    line_end: str = "\n") -> str:
+                    line_end: str = "\n", work_dir: str | None = None) -> str:
     """UTF-8 CSV in field order, one part file per task, each with the header. ``ordered``
     range-sorts the records, so that the parts follow the pages."""
-    _write_csv(_in_page_order(records, ordered).select(*_texts(records, SALES_FIELDS)), path,
-               line_end=line_end)
+    _write_csv(_in_page_order(records, ordered, work_dir).select(
+        *_texts(records, SALES_FIELDS)), path, line_end=line_end)
     return path
 
 
 def write_wide_csv(records: DataFrame, path: str, ordered: bool = False,
-                   line_end: str = "\n") -> str:
+                   line_end: str = "\n", work_dir: str | None = None) -> str:
     """CSV in the fixed column order with readable headings; each part starts with the
     byte-order mark that spreadsheets look for."""
-    named = _in_page_order(records, ordered).select(*_texts(records, WIDE_FIELDS)).toDF(
+    named = _in_page_order(records, ordered, work_dir).select(*_texts(records, WIDE_FIELDS)).toDF(
         *[("\ufeff" if i == 0 else "") + FRIENDLY_HEADINGS[f]
           for i, f in enumerate(WIDE_FIELDS)])
     _write_csv(named, path, line_end=line_end)
@@ -102,9 +110,10 @@ def write_run(records: DataFrame, folder: str, at: datetime) -> str:
     return folder
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Read a CSV written by this module; '' stays ''."""
-    df = (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Read a CSV written by this module; '' stays ''. Files of records whose texts hold no
+    line ends can be split between tasks: ``multi_line=False``."""
+    df = (spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
           .csv(path))
     names = [c.lstrip("\ufeff") for c in df.columns]

@@ -31,9 +31,12 @@ def append_records(records: DataFrame, path: str, checkpoint: str,
 
 
 def dedupe_stream(records: DataFrame, scope: str = "all", arrival: str | None = None,
-                  lateness: str = "1 day") -> DataFrame:
-    """First record to arrive of each (address, parcel, owner). With an ``arrival`` time
-    column the state is dropped after ``lateness``; without it, state grows with the keys."""
+                  lateness: str = "1 day", unbounded_state: bool = False) -> DataFrame:
+    """First record to arrive of each (address, parcel, owner). The state of a key is dropped
+    ``lateness`` after its ``arrival`` time; without such a column the state grows with the
+    keys, which has to be asked for by ``unbounded_state``."""
+    if arrival is None and not unbounded_state:
+        raise ValueError("give an arrival time column, or ask for unbounded_state")
     names = ["k_address", "k_parcel", "k_owner"]
     keyed = records.select("*", *dedupe_keys()).filter(
         "concat(k_address, k_parcel, k_owner) <> ''")

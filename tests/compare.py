@@ -9,6 +9,7 @@ import datetime
 import decimal
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -28,6 +29,7 @@ def session(cores: int = 8):
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "12g")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="pagetables-checks-"))
              .config("spark.sql.dataFrameQueryContext.enabled", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagetables.functions.fixed import FRIENDLY_HEADINGS, SALES_FIELDS, WIDE_FIELDS
 from pagetables.operators import records as O
-from pagetables.plans import extract
+from pagetables.plans import extract, listing
 from pagetables.sources import tables
 
 AT = "2024-01-02 03:04:05"
@@ -63,7 +63,8 @@ def test_search(spark):
     assert found(property_type="Commercial", min_sqft=5000) == [1]
     assert found(max_sqft=5000, min_value=15) == [2]
     assert found(date_from="2020-01-01", date_to="2020-12-31") == [1]
-    assert O.search_records(df.drop("property_type"), property_type="x").count() == 3
+    with pytest.raises(ValueError):
+        O.search_records(df.drop("property_type"), property_type="x")
 
 
 def test_resolve_option(spark):
@@ -160,4 +161,24 @@ class Cluster:
 
 def test_scratch_follows_the_session(spark):
     assert tables.scratch_path(Cluster, "x").startswith("/shared/x-")
+    assert tables.scratch_path(Cluster, "x", "/mine").startswith("/mine/x-")
     assert tables.materialise(spark.range(3), "m").count() == 3
+
+
+class Nameless:
+    """A session that names no folder."""
+
+    class conf:
+        @staticmethod
+        def get(name, default=None):
+            return default
+
+
+def test_no_folder_is_an_error():
+    with pytest.raises(ValueError):
+        tables.scratch_path(Nameless, "x")
+
+
+def test_search_of_sales_by_type_is_an_error(pages):
+    with pytest.raises(ValueError):
+        listing.search_listing(pages("<p>"), AT, property_type="Commercial")

@@ -83,6 +83,34 @@ def test_running_total_and_positions(spark, runs, bucket):
         assert (r["t"], r["pos"]) == (sum(earlier), len(earlier))
 
 
+def test_outlier_does_not_gather_a_run(spark):
+    """200,000 pages and one number far away: buckets stay near their size."""
+    limit, bucket = 200_000, 10_000
+    df = spark.range(1, limit + 1).select(
+        F.lit("s").alias("source"), F.when(F.col("id") == limit, 2_000_000_000).otherwise(
+            F.col("id")).cast("int").alias("page_no"))
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = Q.in_buckets(df, "source", "page_no", bucket).groupBy("_b").count().collect()
+        assert max(r["count"] for r in sizes) < 1.2 * bucket and len(sizes) >= 20
+        last = Q.positions(df, bucket=bucket).agg(
+            F.max("pos"), F.count_distinct("pos")).first()
+        assert tuple(last) == (limit, limit)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_stored_pages_all_come_back(spark):
+    """Without a rule nothing is left out: no page without a number, none beyond fifty."""
+    html = "<table><tr><th>Owner<tr><td>O{0}<td>b<td>c</table>"
+    pages = spark.createDataFrame(
+        [(i, f"http://a.t/{i}", html.format(i), "s", None if i % 2 else i) for i in range(1, 121)],
+        "page_id bigint, url string, html string, source string, page_no int")
+    got = listing.run_listing(pages, "2024-01-02 03:04:05").collect()
+    assert sorted(r["page_number"] for r in got) == list(range(1, 121))
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.integers(0, 2), min_size=1, max_size=25))
 def test_empty_run_keeps_a_prefix(spark, counts):

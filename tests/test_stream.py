@@ -41,7 +41,7 @@ def test_dedupe_stream_keeps_one_of_each(spark, tmp_path):
     for name, arrival in (("state", None), ("watermark", "arrived")):
         arriving = stream.read_pages_stream(spark, folder, pages.schema)
         records = extract.extract_sales(arriving, AT)
-        first = stream.dedupe_stream(records, arrival=arrival)
+        first = stream.dedupe_stream(records, arrival=arrival, unbounded_state=arrival is None)
         out = f"{tmp_path}/{name}"
         stream.append_records(first, out, f"{out}-log").awaitTermination()
         got = spark.read.schema(first.schema).parquet(out)
