@@ -29,12 +29,17 @@ LEAST_TEXTS = 5
 #: A word must be so many standard deviations from what chance gives.
 SIGNIFICANT = 5.0
 
+#: Bytes of the stems.
+STEMS = (4, 5, 6)
+
 _BLANK = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
 def words(text: bytes | None) -> set[bytes]:
-    """Distinct words: letters, digits and anything beyond ASCII, A-Z lower-cased."""
-    return set((text or b"").lower().translate(_BLANK).split())
+    """Distinct words (letters, digits and anything beyond ASCII, A-Z lower-cased) and the
+    stems that longer words begin with, so that inflected forms count together."""
+    whole = set((text or b"").lower().translate(_BLANK).split())
+    return whole | {w[:n] + b"-" for w in whole for n in STEMS if len(w) > n}
 
 
 class Chain:
