@@ -1,11 +1,12 @@
 """Line de-duplication by pairwise alignment.
 
-Documents that overlap are found through the hashes of their lines. A line rare in the
-corpus links each document that has it to the first one (by doc_id) that has it; a line
-too frequent for that links only together with the line after it. Every link goes to a
-first document, so that a line in n documents makes n - 1 pairs at most, and every document
-that has such a line is in a pair. Each pair is aligned with a patience diff on line
-hashes, and the aligned common blocks are deleted from the later document.
+Documents that overlap are found through the hashes of their lines. A line, however
+frequent, links each document that has it to the first one (by doc_id) that has it, and so
+does a line together with the line after it. Every link goes to a first document, so that a
+line in n documents makes n - 1 pairs at most, and every document that has such a line is in
+a pair. Each pair is aligned with a patience diff on line hashes, and the aligned common
+blocks are deleted from the later document. Joins on a line or on a first document are
+salted by the later document, so that a line in very many of them is spread over tasks.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from pagetables.llm.common import in_arrow, stored
 
-#: A line in more documents than this links only together with the line after it.
-RARE = 100
+#: Salts of a line, or of a first document, in the joins: the bits of one integer.
+SALTS = 64
 
 
 def _lines(text: Column) -> Column:
@@ -111,10 +112,25 @@ def patience(a: list, b: list) -> list[tuple[int, int, int]]:
     return sorted(blocks)
 
 
-def deletions(docs: DataFrame, rare: int = RARE) -> DataFrame:
+def _salt(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(SALTS)).cast("int")
+
+
+def _used(doc_id: str) -> Column:
+    """The salts that occur among the documents of a group, a bit for each."""
+    return F.bit_or(F.expr(f"shiftleft(1L, pmod(xxhash64({doc_id}), {SALTS}L)::int)"))
+
+
+def _salts(used: str) -> Column:
+    """The salts of ``_used`` as an array."""
+    return F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)),
+                    lambda i: F.getbit(F.col(used), i) == 1)
+
+
+def deletions(docs: DataFrame, rare: int | None = None) -> DataFrame:
     """``(doc_id, drop)``: places (from 0) of the lines to delete, for documents with any.
 
-    Only the documents' ids and line hashes are shuffled, no text.
+    With ``rare``, a line in more documents than that links only with the line after it. Only the documents' ids and line hashes are shuffled, no text.
     """
     lines = docs.filter(F.col("doc_id").isNotNull()).select(
         "doc_id", line_hashes(F.col("text")).alias("h")).filter(F.size("h") > 0)
@@ -126,17 +142,20 @@ def deletions(docs: DataFrame, rare: int = RARE) -> DataFrame:
     ones = each.select(F.col("line").alias("key"), "doc_id").distinct()
     twos = each.filter(F.col("two").isNotNull()).select(F.col("two").alias("key"), "doc_id")
 
-    def firsts(rows, most=None):
-        seen = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("n"))
-        return seen.filter(F.col("n") > 1 if most is None else F.col("n").between(2, most))
-
     def pairs(rows, most=None):
-        return (rows.join(firsts(rows, most).select("key", "first"), "key")
+        shared = F.col("n") > 1 if most is None else F.col("n").between(2, most)
+        firsts = rows.groupBy("key").agg(
+            F.min("doc_id").alias("first"), F.count("doc_id").alias("n"), _used("doc_id").alias("used"))
+        firsts = firsts.filter(shared).select("key", "first", F.explode(_salts("used")).alias("salt"))
+        return (rows.withColumn("salt", _salt("doc_id")).join(firsts, ["key", "salt"])
                 .filter(F.col("doc_id") > F.col("first")).select("doc_id", "first"))
 
     found = stored(pairs(ones, rare).union(pairs(twos.distinct())).distinct(), "pairs")
     hashes = lines.groupBy("doc_id").agg(F.min("h").alias("h"))  # rows of one doc_id: see below
-    both = (found.join(hashes.select(F.col("doc_id").alias("first"), F.col("h").alias("a")), "first")
+    wanted = found.groupBy("first").agg(_used("doc_id").alias("used"))
+    first = hashes.withColumnsRenamed({"doc_id": "first", "h": "a"}).join(wanted, "first").select(
+        "first", "a", F.explode(_salts("used")).alias("salt"))
+    both = (found.withColumn("salt", _salt("doc_id")).join(first, ["first", "salt"])
             .join(hashes.withColumnRenamed("h", "b"), "doc_id").select("doc_id", "a", "b"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (in_arrow(both, _aligned, f"doc_id {kind}, line int").distinct()
@@ -158,7 +177,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "line"])
 
 
-def dedupe_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
+def dedupe_lines(docs: DataFrame, rare: int | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with the shortened ``text``, and ``lines_removed``,
     ``lines_kept`` (in place of columns of these names).
 

@@ -53,6 +53,13 @@ def test_frequent_line_alone_stays(documents):
     assert all(r.text.startswith("header\n") and r.lines_removed == 0 for r in kept)
 
 
+def test_line_of_very_many_documents_goes(documents):
+    rows = [(i, f"own {i}\nfooter\nmore {i}", "en", "s") for i in range(300)]
+    kept = {r.doc_id: r.text for r in L.dedupe_lines(documents(rows)).collect()}
+    assert kept == {i: f"own {i}\nfooter\nmore {i}" if i == 0 else f"own {i}\nmore {i}" for i in range(300)}
+    assert kept == plain([r[:2] for r in rows], len(rows))
+
+
 def test_odd_rows(odd):
     kept = L.dedupe_lines(odd)
     assert kept.columns == odd.columns + ["lines_removed", "lines_kept"]
