@@ -45,9 +45,10 @@ def counts(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """n-gram counts (a row of ``DIM`` for each text) and the number of letters."""
     lowered = [(t or b"").decode("utf-8").lower() for t in texts]
     sizes = np.array([len(t) for t in lowered], np.int64)
-    chars = np.frombuffer("\0".join([*lowered, "", ""]).encode("utf-32-le"), np.uint32)
+    # a zero before each text and two at the end, so that every letter has neighbours
+    chars = np.frombuffer("\0".join(["", *lowered, "", ""]).encode("utf-32-le"), np.uint32)
     x = np.where(_letters()[chars], chars, 0).astype(np.uint32)
-    ends = np.cumsum(sizes + 1) - 1
+    ends = np.cumsum(sizes + 1)
     a, b, c = (x[:-2] * np.uint32(0x9E3779B1), x[1:-1] * np.uint32(0x85EBCA77),
                x[2:] * np.uint32(0xC2B2AE3D))
     here = x[1:-1] != 0  # the n-grams around the letter at i + 1
@@ -57,16 +58,12 @@ def counts(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
              (((a ^ (b + c)) * mix) >> shift)]
     out = np.zeros((len(texts), DIM), np.float32)
     n = np.zeros(len(texts), np.int64)
-    if len(x) < 3:
-        return out, n
-    first = x[0] != 0 if len(x) else False
     for i, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist())):
-        start = end - size
-        lo, hi = max(start - 1, 0), max(end - 1, 0)
-        if hi <= lo:
+        lo, hi = end - size - 1, end - 1
+        if not size:
             continue
         keep = np.flatnonzero(here[lo:hi])
-        n[i] = len(keep) + (i == 0 and bool(first))
+        n[i] = len(keep)
         for g in grams:
             out[i] += np.bincount(g[lo:hi][keep], minlength=DIM)
     return out, n

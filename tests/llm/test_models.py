@@ -29,6 +29,22 @@ def test_language_odd_rows(corpus, documents):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_counts_do_not_depend_on_the_batch():
+    texts = [b"x", b"word and word", "\u00e9t\u00e9".encode(), b"", None, b" a", b"1", b"z"]
+    together, letters = langid.counts(texts)
+    assert letters.tolist() == [1, 11, 3, 0, 0, 1, 0, 1]
+    assert together[0].sum() == 3
+    for order in (texts[::-1], texts[1:] + texts[:1]):
+        again, n = langid.counts(order)
+        for t in texts:
+            i, j = texts.index(t), order.index(t)
+            assert n[j] == letters[i] and (again[j] == together[i]).all()
+    for i, t in enumerate(texts):
+        alone, n = langid.counts([t])
+        assert n[0] == letters[i] and (alone[0] == together[i]).all()
+    assert langid.counts([])[0].shape == (0, langid.DIM)
+
+
 def test_language_nothing_to_learn_from(odd):
     from pyspark.sql import functions as F
 
