@@ -22,46 +22,36 @@ class Sparse:
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.col], minlength=self.n)
 
-
-class Dense:
-    """The same rows as one matrix, for a bounded sample with few columns."""
-
-    def __init__(self, rows: list[np.ndarray], values: list[np.ndarray], columns: int):
-        self.n, self.columns = len(rows), columns
-        self.x = np.zeros((len(rows), columns), np.float32)
-        for i, (r, v) in enumerate(zip(rows, values)):
-            self.x[i, r] = v
-
-    def dot(self, w: np.ndarray) -> np.ndarray:
-        return (self.x @ w.astype(np.float32)).astype(np.float64)
-
     def back(self, r: np.ndarray) -> np.ndarray:
-        return (r.astype(np.float32) @ self.x).astype(np.float64)
+        return np.bincount(self.col, self.value * r[self.row], minlength=self.columns)
 
 
-def fit(x: Sparse | Dense, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, rounds: int = 150
+def fit(x: Sparse, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, rounds: int = 150
         ) -> tuple[np.ndarray, float]:
     """Weights and intercept of the least regularised log-loss, by accelerated gradient steps
     whose length adapts to the loss. Rows of weight 0 take no part."""
     total = max(weight.sum(), 1e-9)
     w, b = np.zeros(x.columns), 0.0
     at_w, at_b, t, step = w.copy(), b, 1.0, 1.0
+    z = at_z = np.zeros(x.n)  # x.dot(w) + b, kept along with w and b: each round has one product
 
-    def loss(w, b):
-        z = x.dot(w) + b
+    def loss(w, z):
         return (weight * (np.logaddexp(0, z) - y * z)).sum() / total + l2 / 2 * (w @ w)
 
     for _ in range(rounds):
-        r = weight * (sigmoid(x.dot(at_w) + at_b) - y) / total
+        r = weight * (sigmoid(at_z) - y) / total
         g, gb = x.back(r) + l2 * at_w, r.sum()
-        here, square = loss(at_w, at_b), g @ g + gb * gb
+        here, square = loss(at_w, at_z), g @ g + gb * gb
         if square < 1e-14:
             break
+        slope = x.dot(g) + gb
         step *= 1.5
-        while loss(at_w - step * g, at_b - step * gb) > here - step / 2 * square and step > 1e-6:
+        while loss(at_w - step * g, at_z - step * slope) > here - step / 2 * square and step > 1e-6:
             step /= 2
-        new_w, new_b = at_w - step * g, at_b - step * gb
+        new_w, new_b, new_z = at_w - step * g, at_b - step * gb, at_z - step * slope
         new_t = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        at_w, at_b = new_w + (t - 1) / new_t * (new_w - w), new_b + (t - 1) / new_t * (new_b - b)
-        w, b, t = new_w, new_b, new_t
+        pull = (t - 1) / new_t
+        at_w, at_b = new_w + pull * (new_w - w), new_b + pull * (new_b - b)
+        at_z = new_z + pull * (new_z - z)
+        w, b, z, t = new_w, new_b, new_z, new_t
     return w, float(b)

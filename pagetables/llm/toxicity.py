@@ -17,16 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetables.llm.common import by_text, in_arrow, stored
-from pagetables.llm.linear import Dense, Sparse, fit, sigmoid
+from pagetables.llm.linear import Sparse, fit, sigmoid
 
 #: Bound of the sample of labelled rows that the chain is fitted on.
-SAMPLE = 10_000
+SAMPLE = 20_000
 FOLDS = 5
-#: Words looked at by the models: those that tell most about any category, in the sample.
-WORDS = 300
-#: A word must be in so many sampled texts.
+#: A word must be in so many labelled texts.
 LEAST_TEXTS = 5
-#: A word must be so many standard deviations from what chance gives.
+#: A word must be so many standard deviations from what chance gives, for one of the categories.
 SIGNIFICANT = 5.0
 
 #: Bytes of the stems.
@@ -64,45 +62,64 @@ class Chain:
         return sigmoid(odds)
 
 
-def _vocabulary(rows: list[np.ndarray], labels: np.ndarray, known: np.ndarray) -> dict[int, int]:
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
-    hashes, of, n = np.unique(flat, return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    strength = np.zeros(len(hashes))
-    for j in range(labels.shape[1]):
-        here = known[:, j]
-        if not here.any():
-            continue
-        p = labels[here, j].mean()
-        with_word = np.bincount(of, here[row], minlength=len(hashes))
-        positive = np.bincount(of, here[row] * labels[row, j], minlength=len(hashes))
-        spread = np.sqrt(np.maximum(with_word * p * (1 - p), 1e-9))
-        strength = np.maximum(strength, np.abs(positive - with_word * p) / spread)
-    good = np.flatnonzero((n >= LEAST_TEXTS) & (strength >= SIGNIFICANT))
-    good = good[np.lexsort((hashes[good], -strength[good]))][:WORDS]
-    return {int(h): i for i, h in enumerate(hashes[good])}
+def _hashed(text: bytes | None) -> np.ndarray:
+    return np.unique(np.array([zlib.crc32(w) for w in words(text)], np.uint32))
+
+
+def _vocabulary(known: DataFrame, categories: list[str]) -> dict[int, int]:
+    """Numbers of all words that tell about a category, counted over all labelled rows."""
+    k = len(categories)
+    names = [f"{kind}{j}" for j in range(k) for kind in ("n", "y")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in by_text(batches):
+            rows = [_hashed(t) for t in texts]
+            hashes, of = np.unique(np.concatenate(rows), return_inverse=True)
+            row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+            out = [np.bincount(of, minlength=len(hashes))]
+            for c in categories:
+                y = np.array(batch.column(c).to_pylist(), float)  # a null is nan
+                for v in (~np.isnan(y), np.nan_to_num(y)):
+                    out.append(np.bincount(of, v[row], minlength=len(hashes)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes.astype(np.int64)), *(pa.array(o.astype(float)) for o in out)],
+                ["word", "n", *names])
+
+    share = known.agg(*(F.avg(c) for c in categories)).first()
+    counted = in_arrow(known.select("text", *categories), run, "word bigint, n double, "
+                       + ", ".join(f"{x} double" for x in names))
+    counted = counted.groupBy("word").agg(*(F.sum(x).alias(x) for x in ["n", *names]))
+    strong = F.lit(False)
+    for j, p in enumerate(share):
+        if p is not None:
+            spread = F.sqrt(F.greatest(F.col(f"n{j}") * (p * (1 - p)), F.lit(1e-9)))
+            strong |= F.abs(F.col(f"y{j}") - F.col(f"n{j}") * p) >= SIGNIFICANT * spread
+    good = counted.filter(F.col("n") >= LEAST_TEXTS).filter(strong).select("word").collect()
+    return {h: i for i, h in enumerate(sorted(r["word"] for r in good))}
 
 
 def train(labelled: DataFrame, categories: list[str], sample: int = SAMPLE, folds: int = FOLDS,
           l2: float = 1e-4) -> Chain:
     """Fit a chain on ``labelled``: ``text``, ``key`` and a column of 0 or 1 for each category
-    (null: not labelled). At most about ``sample`` rows, those with the smallest hashes of
-    the key, are used."""
-    known = labelled.filter(F.col("text").isNotNull()).withColumn("h", F.xxhash64("key"))
+    (null: not labelled). Words are chosen over all rows; weights are fitted on at most about
+    ``sample`` rows, those with the smallest hashes of the key."""
+    known = labelled.filter(F.col("text").isNotNull()).select(
+        F.xxhash64("key").alias("h"), *(F.col(c).cast("double") for c in categories), "text")
+    vocabulary = _vocabulary(known, categories)
     n = known.select("h").count()
     share = min(1.0, sample / n) if n else 1.0
     top = min(2**63 - 1, int(share * 2**64) - 2**63)
 
+    chosen = np.array(list(vocabulary), np.uint32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in by_text(batches):
-            hashed = [np.unique(np.array([zlib.crc32(w) for w in words(t)], np.uint32)).tobytes()
-                      for t in texts]
+            hashed = [r[np.isin(r, chosen)].tobytes() for r in map(_hashed, texts)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("h"), *(batch.column(c) for c in categories),
                  pa.array(hashed, pa.binary())], ["h", *categories, "words"])
 
-    picked = known.filter(F.col("h") <= F.lit(top)).select(
-        "h", *(F.col(c).cast("double") for c in categories), "text")
+    picked = known.filter(F.col("h") <= F.lit(top))
     schema = "h bigint, " + ", ".join(f"`{c}` double" for c in categories) + ", words binary"
     got = sorted(in_arrow(picked, run, schema).collect(),  # about ``sample`` rows of word hashes
                  key=lambda r: (r["h"], r["words"], repr(tuple(r)[1:-1])))
@@ -111,17 +128,15 @@ def train(labelled: DataFrame, categories: list[str], sample: int = SAMPLE, fold
                        for r in got]).reshape(len(got), len(categories))
     given = ~np.isnan(labels)
     labels = np.nan_to_num(labels)
-    vocabulary = _vocabulary(rows, labels, given)
-    columns = [np.array([vocabulary[h] for h in r.tolist() if h in vocabulary], np.int64)
-               for r in rows]
+    columns = [np.array([vocabulary[h] for h in r.tolist()], np.int64) for r in rows]
     size = len(vocabulary)
     fold = np.array([r["h"] % folds for r in got], np.int64)
     odds = np.zeros((len(rows), len(categories)))
     models = []
     for j in range(len(categories)):
-        x = Dense([np.concatenate((c, size + np.arange(j))) for c in columns],
-                  [np.concatenate((np.ones(len(c)), odds[i, :j])) for i, c in enumerate(columns)],
-                  size + j)
+        x = Sparse([np.concatenate((c, size + np.arange(j))) for c in columns],
+                   [np.concatenate((np.ones(len(c)), odds[i, :j])) for i, c in enumerate(columns)],
+                   size + j)
         for f in range(folds):
             w, b = fit(x, labels[:, j], (given[:, j] & (fold != f)).astype(float), l2)
             odds[fold == f, j] = (x.dot(w) + b)[fold == f]
@@ -158,12 +173,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = (
     of unknown documents, and null ones, teach nothing; a document labelled twice is two
     training rows.
     """
-    # labels are narrow: their sampled part meets the texts, which are read once more
-    wanted = labels.filter(F.col("doc_id").isNotNull())
-    n = wanted.count()
-    share = min(1.0, sample / n) if n else 1.0
-    top = min(2**63 - 1, int(share * 2**64) - 2**63)
-    some = stored(wanted.filter(F.xxhash64("doc_id") <= F.lit(top)).select(
-        F.col("doc_id").alias("key"), *categories), "labels")
+    some = labels.filter(F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").alias("key"), *categories)
     known = docs.select("doc_id", "text").join(some, F.col("doc_id") == F.col("key")).drop("doc_id")
+    known = stored(known, "labelled")
     return predict(docs, train(known, list(categories), sample))

@@ -67,6 +67,21 @@ def test_toxicity_held_out_accuracy(spark, corpus):
     assert recall > 0.9 and wrong < 0.01
 
 
+def test_toxicity_words_of_one_category_do_not_crowd_out_the_other(spark):
+    from pyspark.sql import functions as F
+
+    # 500 strong words of bad quality and 10 weaker ones of toxic texts
+    docs = spark.range(2000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.array_join(F.transform(
+            F.sequence(F.lit(0), F.lit(499)), lambda i: F.format_string("q%03d", i)), " "))
+        .otherwise("plain").alias("q"), (F.col("id") % 20 == 7).cast("int").alias("toxic"))
+    docs = docs.withColumn("text", F.concat_ws(" ", "q", F.when(
+        F.col("toxic") == 1, F.format_string("t%02d", (F.col("doc_id") / 20).cast("int") % 10))))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), "toxic")
+    rows = toxicity.toxicity(docs.select("doc_id", "text"), labels).join(labels, "doc_id").collect()
+    assert all((r.p_toxic >= 0.5) == (r.toxic == 1) for r in rows)
+
+
 def test_toxicity_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (2, None, None), (4, 0, 1), (None, 1, 1), (99, 1, 1), (4, 0, 1)],
                                    "doc_id bigint, quality int, toxic int")
