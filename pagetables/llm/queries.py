@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetables.llm import (decontaminate, langid, licences, linededup, packing, simhash,
-                            substring, tokencount, topk, toxicity)
+from pagetables.llm import (bestfit, decontaminate, langid, licences, linededup, packing, simhash,
+                            spelling, substring, tokencount, topk, toxicity, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +136,57 @@ def op9(spark, sf_dir):
 @_query("op10_simhash_golay")
 def op10(spark, sf_dir):
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"), shingle=4, bits=4)
+
+
+@_query("op11_whitening")
+def op11(spark, sf_dir):
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=16, scale=64,
+                             offset=1_000_000)
+    return found.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+@_query("op12_best_fit")
+def op12(spark, sf_dir):
+    pieces = bestfit.pack(_table(spark, sf_dir, "documents"),
+                          public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         "sequence_id", "offset")
+
+
+@_query("op13_spelling", r"""
+WITH RECURSIVE crc(k, v, step) AS (
+  SELECT k, k, 0 FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS k) UNION ALL
+  SELECT k, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1
+  FROM crc WHERE step < 8),
+bytes AS (SELECT list(v ORDER BY k) AS t FROM crc WHERE step = 8),
+run AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents),
+per AS (SELECT doc_id, w, count(*) AS n FROM run GROUP BY ALL),
+code AS (SELECT w, n, len(w) AS len, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM per),
+sums AS (SELECT w, n, len, xor(list_reduce(
+           list_prepend(4294967295, list_transform(range(1, len(x), 2),
+             lambda i: CAST(('0x' || x[i:i + 1]) AS BIGINT))),
+           lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS h
+         FROM code, bytes),
+made AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, h % len) || substr(w, h % len + 2)
+                ELSE w END AS word, n FROM sums),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made WHERE len(word) >= 6
+          GROUP BY word HAVING sum(n) >= 5),
+at AS (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM words),
+cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS s FROM at),
+indel AS (SELECT DISTINCT c.word, c.n, w.word AS other, w.n AS other_n FROM cut c JOIN words w ON w.word = c.s),
+near AS (SELECT word, other, other_n FROM indel UNION ALL SELECT other, word, n FROM indel
+         UNION ALL SELECT a.word, b.word, b.n FROM cut a JOIN cut b
+         ON a.s = b.s AND a.i = b.i AND a.word <> b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, struct_pack(a := -other_n, b := other)) AS other,
+                max(other_n) AS other_n FROM near GROUP BY word),
+forms AS (SELECT word, CASE WHEN other_n >= 5 * n THEN other END AS form, n,
+                 CAST(coalesce(n_near, 0) AS BIGINT) AS n_near,
+                 CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+          FROM words LEFT JOIN best USING (word)),
+way(word, root) AS (SELECT word, word FROM forms UNION ALL
+  SELECT w.word, f.form FROM way w JOIN forms f ON f.word = w.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN way w ON w.word = f.word JOIN forms e ON e.word = w.root AND e.form IS NULL""")
+def op13(spark, sf_dir):
+    return spelling.variants(_table(spark, sf_dir, "documents"))
