@@ -172,8 +172,8 @@ made AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, h % len) || substr(w, h % len
                 ELSE w END AS word, n FROM sums),
 words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made WHERE len(word) >= 6
           GROUP BY word HAVING sum(n) >= 5),
-at AS (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM words),
-cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS s FROM at),
+pos AS (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM words),
+cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS s FROM pos),
 indel AS (SELECT DISTINCT c.word, c.n, w.word AS other, w.n AS other_n FROM cut c JOIN words w ON w.word = c.s),
 near AS (SELECT word, other, other_n FROM indel UNION ALL SELECT other, word, n FROM indel
          UNION ALL SELECT a.word, b.word, b.n FROM cut a JOIN cut b
