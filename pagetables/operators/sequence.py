@@ -24,6 +24,8 @@ from pagetables.functions.text import find, find_all, let
 from pagetables.operators.scan import mark_pages
 from pagetables.sources.tables import materialise
 
+#: A line that is a page count: up to two words, a number, a slash, a number.
+PAGE_SLASH_LINE = r"^(?:[a-z]+:?\s+){0,2}\d{1,4}\s*/\s*(\d{1,4})$"
 BUCKET = 10_000
 #: Quantiles of a run that its buckets are cut at.
 QUANTILES = 1000
@@ -62,19 +64,30 @@ def _outside_tables(page: Column) -> Column:
         page, rf"(?is){H.OPEN}table\b.*?(?:{H.OPEN}/table\b[^{H.SHUT}]*{H.SHUT}|$)", " "))
 
 
+def _fraction_lines(page: Column) -> Column:
+    """Total of the first line outside tables that holds nothing but a fraction, with a word
+    or two before it ('1/15', 'at 1/15', 'Page 1/15'). A fraction within a sentence or before a
+    word, such as a share of a property, is none."""
+    lines = F.transform(F.split(_outside_tables(page), r"\n"), F.trim)
+    return F.get(F.filter(F.transform(lines, lambda line: find(
+        line, PAGE_SLASH_LINE, 1, ignore_case=True).try_cast("int")), lambda n: n.isNotNull()), F.lit(0))
+
+
 def total_pages_of(page: Column) -> Column:
     """Total shown on a page: 'X of Y' or 'X/Y' (no date) in a pagination container, 'X of Y'
-    outside tables, else the highest page number among the links and in the containers."""
+    outside tables, 'X/Y' outside tables on a line of its own, else the highest page number
+    among the links and in the containers."""
     links = F.array_max(F.transform(
         F.filter(H.tags(page), lambda t: t["tag"].rlike(r"(?i)^a\b")
                  & t["text"].rlike("^[0-9]{1,3}$")),
         lambda t: page_number_range(t["text"])))
     pagers = F.array_max(F.transform(
         F.flatten(F.transform(_pagers(page), lambda c: find_all(
-            H.inner_text(c), r"\b(\d+)\b", 1))), page_number_range))
+            H.inner_text(c), r"\b(\d+)\b", 1))), lambda n: page_number_range(n)))
     return F.coalesce(
         _shown_in_pagers(page, PAGE_OF, 2), _shown_in_pagers(page, PAGE_SLASH, 2),
         find(_outside_tables(page), PAGE_OF, 2, ignore_case=True).try_cast("int"),
+        F.when(F.contains(page, F.lit("/")), _fraction_lines(page)),
         F.greatest(links, pagers))
 
 
@@ -236,8 +249,9 @@ def positions(df: DataFrame, source: str = "source", order: str = "page_no",
 
 def with_run_limit(df: DataFrame, limits: DataFrame, source: str) -> DataFrame:
     """Left join of one row per source. Spark broadcasts the limits if they are few; else
-    it may split the rows of a large source, whose limit is a single row."""
-    return df.join(limits, source, "left")
+    they have a shuffle of their own, without which Spark could not split the rows of a
+    large source, whose limit is a single row."""
+    return df.join(limits.repartition(F.hash(F.col(source))), source, "left")
 
 
 # --- per run: where to stop --------------------------------------------------------------

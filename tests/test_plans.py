@@ -59,14 +59,23 @@ def test_search_is_pushed_into_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(square_footage_int,5)" in text and "unused" not in text
 
 
-def test_runs_meet_their_limits_in_a_salted_join(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_a_large_run_is_split_where_it_meets_its_limit(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
-        df = spark.range(100).select(F.lit("hot").alias("source"), F.col("id").alias("page_no"))
+        page = F.col("id")
+        df = spark.range(0, 400_000, 1, 16).select(
+            F.when(page % 10 > 0, "hot").otherwise(page.cast("string")).alias("source"), page.alias("page_no"))
         limits = df.groupBy("source").agg(F.max("page_no").alias("top"))
-        joined = Q.with_run_limit(df, limits, "source", "page_no")
-        assert "_salt" in plan(joined)
-        got = joined.collect()
-        assert len(got) == 100 and {r["top"] for r in got} == {99}
+        joined = Q.with_run_limit(df, limits, "source")
+        assert joined.filter("top >= page_no").count() == 400_000
+        joined = joined.select("source", "page_no", "top")
+        joined.collect()
+        assert "skewed" in joined._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
