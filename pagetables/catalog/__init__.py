@@ -1,6 +1,8 @@
 """Registered queries, each with the SQL over the same tables that checks it."""
 
-from pagetables.catalog import fields, records, rules, scan, sequence  # noqa: F401
+from pagetables.catalog import (  # noqa: F401
+    arrivals, fields, records, rules, scan, sequence, temporal,
+)
 from pagetables.catalog.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
