@@ -3,15 +3,19 @@
 A window is ``length`` consecutive words. Every window is kept by one anchor: the least
 hash among the runs of words of a fixed shorter length inside it, the leftmost if equal, so
 that equal windows have equal anchors at the same place. The windows of an anchor are one
-passage of a document. Anchors that occur twice or more route passages to reference shards:
-a shard holds the passages around one anchor, in the order of the corpus. Each shard builds
-a suffix automaton of the passages seen so far and streams the next one through it; where
-the matching statistic reaches ``length``, a window occurs earlier.
+passage of a document. Anchors that occur twice or more route passages to reference shards.
+Passages that are equal as a whole are one passage with several places, of which all but the
+first go; a shard holds the different passages around one anchor, in the order of the corpus.
+It builds a suffix automaton of the passages seen so far and streams the next one through it;
+where the matching statistic reaches ``length``, a window occurs earlier.
 
 A corpus of references is too large to be broadcast, so passages are sent to the automata
-that can match them instead of all automata to all tasks. An anchor with very many passages
-is split by window, and the first occurrence of each of its windows is sent to as many
-copies of the shard as its rows need.
+that can match them instead of all automata to all tasks. An anchor with very many different
+passages is too much for one automaton; its passages are taken apart into windows, the
+shortest passages there are, and what is equal as a whole is found as above.
+
+Texts are hashed once. A task hands on one row for each anchor of a stretch of text with all
+places of it, so that a frequent anchor is a few rows of each task.
 """
 
 from __future__ import annotations
@@ -21,14 +25,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetables.llm.common import by_text, in_arrow, stored
 
 LENGTH = 20
-#: Passages that one shard takes before its anchor is split by window.
+#: Different passages that one shard takes before its anchor is split by window.
 SHARD = 2000
+#: Words of the runs that anchors are chosen from, of those of a window.
+RUN_SHARE = 0.3
+#: Passages of a task that are put together by anchor.
+STRETCH = 200_000
 #: Distinct words whose hashes a task remembers.
 REMEMBERED = 200_000
 #: Low bits hold a place while the least hash of a window is looked for.
@@ -65,7 +73,7 @@ def anchors(hashes: np.ndarray, ends: np.ndarray, length: int
     none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(hashes) < length:
         return none
-    words = max(1, length // 2)
+    words = max(1, int(length * RUN_SHARE))
     grams = _runs(hashes, words, _chained)
     packed = (grams >> PLACE << PLACE) | np.arange(len(grams), dtype=np.uint64)
     least = _runs(packed, length - words + 1, lambda a, b, _: np.minimum(a, b))
@@ -140,143 +148,169 @@ class SuffixAutomaton:
         return out
 
 
-class _Shard:
-    """One reference shard: the passages of a route, in the order of the corpus."""
-
-    def __init__(self, length: int):
-        self.length = length
-        self.whole: set[bytes] = set()
-        self.waiting: list[list[bytes]] = []
-        self.automaton: SuffixAutomaton | None = None
-
-    def stream(self, passage: bytes, n: int) -> list[tuple[int, int]]:
-        """Maximal spans of words that lie in windows seen before; then takes up the passage."""
-        if passage in self.whole:  # its matching statistics are its own lengths
-            return [(0, n + self.length - 1)]
-        words = passage.split(b" ")
-        spans: list[tuple[int, int]] = []
-        if self.whole:
-            if self.automaton is None:
-                self.automaton = SuffixAutomaton()
-            for w in self.waiting:
-                self.automaton.add(w)
-            self.waiting = []
-            for i, m in enumerate(self.automaton.statistics(words)):
-                if m >= self.length:
-                    if spans and spans[-1][1] >= i - self.length + 1:
-                        spans[-1] = (spans[-1][0], i + 1)
-                    else:
-                        spans.append((i - self.length + 1, i + 1))
-        self.whole.add(passage)
-        self.waiting.append(words)
-        return spans
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def digests(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each run of words from ``start`` to ``end``, alike for equal runs: a
+    polynomial in the word hashes, from running sums."""
+    n = len(hashes)
+    powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, _FACTOR))))
+    back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, _INVERSE))))
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(hashes * powers[:-1])))
+    d = (sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)
+    return (d ^ (d >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _by_anchor(anchor: np.ndarray, places: pa.StructArray) -> pa.RecordBatch:
+    """One row for each anchor: its first place, and the list of the others."""
+    order = np.argsort(anchor, kind="stable")
+    anchor = anchor[order]
+    new = np.concatenate(([True], anchor[1:] != anchor[:-1]))
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(anchor)))
+    offsets = np.concatenate(([0], np.cumsum(times - 1)))
+    head = places.take(pa.array(order[first]))
+    more = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)),
+                                    places.take(pa.array(order[~new])))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(anchor[first].view(np.int64)), pa.array(times.astype(np.int32)), *head.flatten(), more],
+        ["anchor", "times", "doc_id", "start", "n", "digest", "more"])
 
 
 def _passages(docs: DataFrame, length: int) -> DataFrame:
-    """``(anchor, doc_id, start, n)`` for every passage."""
+    """``(anchor, times, doc_id, start, n, digest, more)``: the passages of each stretch of
+    text, by anchor; the first one in columns, the others as a list of structs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
+        anchors_, places, held = [], [], 0
         for batch, texts in by_text(batches):
             words = [(t or b"").split() for t in texts]
             ends = np.cumsum([len(w) for w in words], dtype=np.int64)
             flat = np.fromiter((known[x] for w in words for x in w), np.uint64, int(ends[-1]))
             anchor, start, n = anchors(flat, ends, length)
+            if not len(anchor):
+                continue
             row = np.searchsorted(ends, start, side="right")
             begin = ends[row] - np.array([len(w) for w in words], np.int64)[row]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), batch.column("doc_id").take(pa.array(row)),
-                 pa.array((start - begin).astype(np.int32)), pa.array(n.astype(np.int32))],
-                ["anchor", "doc_id", "start", "n"])
-
-    return in_arrow(docs, run, f"anchor bigint, doc_id {kind}, start int, n int")
+            places.append(pa.StructArray.from_arrays(
+                [batch.column("doc_id").take(pa.array(row)), pa.array((start - begin).astype(np.int32)),
+                 pa.array(n.astype(np.int32)),
+                 pa.array(digests(flat, start, start + n + length - 1).view(np.int64))],
+                ["doc_id", "start", "n", "digest"]))
+            anchors_.append(anchor)
+            held += len(anchor)
+            if held >= STRETCH:
+                yield _by_anchor(np.concatenate(anchors_), pa.concat_arrays(places))
+                anchors_, places, held = [], [], 0
+        if held:
+            yield _by_anchor(np.concatenate(anchors_), pa.concat_arrays(places))
+
+    place = f"doc_id: {kind}, start: int, n: int, digest: bigint"
+    return in_arrow(docs, run, f"anchor bigint, times int, {place.replace(':', '')}, "
+                               f"more array<struct<{place}>>")
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``(route, copies, doc_id, start, n, words)``: the words of the wanted passages; those
-    of a split anchor window by window, on routes of their own."""
+    """``(anchor, split, doc_id, start, words)``: the words of the wanted passages; of those with
+    ``split`` a hash of the words of each window instead."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     of = wanted.groupBy("doc_id").agg(
-        F.collect_list(F.struct("anchor", "start", "n", "copies")).alias("at"))
+        F.collect_list(F.struct("anchor", "start", "n", "split")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in by_text(batches):
-            rows, out = [], ([], [], [], [], [])
+            rows, out = [], ([], [], [], [])
             lists = batch.column("at")
             for i, text in enumerate(texts):
                 words = (text or b"").split()
                 for p in lists[i].as_py():
-                    start, n = p["start"], p["n"]
+                    start, n, split = p["start"], p["n"], p["split"]
                     if start + n + length - 1 > len(words):
                         continue  # a place of another row with this doc_id
-                    split = p["copies"] > 0
                     for s, m in ((s, 1) for s in range(start, start + n)) if split else ((start, n),):
                         passage = b" ".join(words[s:s + m + length - 1])
-                        route = xxhash.xxh64_intdigest(passage) - (1 << 63) if split else p["anchor"]
                         rows.append(i)
-                        for column, value in zip(out, (route, p["copies"], s, m, passage)):
+                        for column, value in zip(out, (
+                                p["anchor"], split, s, xxhash.xxh3_128_digest(passage) if split else passage)):
                             column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(out[0], pa.int64()),
-                 pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()),
-                 pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())],
-                ["doc_id", "route", "copies", "start", "n", "words"])
+                 pa.array(out[1], pa.bool_()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())],
+                ["doc_id", "anchor", "split", "start", "words"])
 
     return in_arrow(docs.join(of, "doc_id"), run,
-                    f"doc_id {kind}, route bigint, copies int, start int, n int, words binary")
+                    f"doc_id {kind}, anchor bigint, split boolean, start int, words binary")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """``(doc_id, first, last)``: maximal spans of words (``last`` is beyond) of one passage
-    that lie in windows whose words also start earlier."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    # dealt by anchor once: counting and picking read the same shuffle
-    passages = _passages(docs, length).repartition("anchor")
-    often = passages.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    wanted = stored(passages.join(often, "anchor").select(
-        "anchor", "doc_id", "start", "n", F.when(F.col("times") > shard, F.ceil(
-            F.col("times") / shard)).otherwise(0).cast("int").alias("copies")), "passages")
-    few = _contexts(docs, wanted.filter("copies = 0"), length).withColumn(
-        "copy", F.lit(0)).withColumn("reference", F.lit(False))
-    many = _contexts(docs, wanted.filter("copies > 0"), length)
-    # windows of split anchors: the first of each goes to all copies of its shard
-    first = (many.groupBy("route", "words").agg(
-        F.min(F.struct("doc_id", "start", "n")).alias("at"), F.max("copies").alias("copies"))
-        .select("at.doc_id", "route", "copies", "at.start", "at.n", "words",
-                F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"),
-                F.lit(True).alias("reference")))
-    dealt = many.withColumn("copy", F.pmod(F.xxhash64("doc_id", "start"), F.col("copies")).cast("int")
-                            ).withColumn("reference", F.lit(False))
-    rows = few.unionByName(dealt).unionByName(first).drop("copies")
+def _later_places(rows: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``keys`` also occur at an earlier ``(doc_id, start)``, and a row for each
+    of the ``keys`` with its first place ``(_d, _s)``. Groups are partly
+    aggregated; both sides of the join are tables, so Spark may split a large group."""
+    first = stored(rows.groupBy(*keys).agg(
+        F.min(F.struct("doc_id", "start")).alias("f"), F.count(F.lit(1)).alias("places")).select(
+        *keys, F.col("f.doc_id").alias("_d"), F.col("f.start").alias("_s"), "places"), name)
+    return rows.join(first.filter("places > 1").drop("places"), keys).filter(
+        ~((F.col("doc_id") == F.col("_d")) & (F.col("start") == F.col("_s")))), first
 
+
+def _streamed(passages: DataFrame, length: int, kind: str) -> DataFrame:
+    """``(doc_id, first, last)``: spans that a shard's automaton of earlier passages matches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = held = None
+        key = automaton = None
         for batch in batches:
             keep, spans = [], []
-            doc = batch.column("doc_id")
-            route, copy, start, n, passage, is_first = (
-                batch.column(c).to_pylist()
-                for c in ("route", "copy", "start", "n", "words", "reference"))
+            anchor, start, passage = (batch.column(c).to_pylist() for c in ("anchor", "start", "words"))
             for i in range(batch.num_rows):
-                if key != (route[i], copy[i]):
-                    key, held, names = (route[i], copy[i]), _Shard(length), set()
-                if is_first[i]:
-                    held.stream(passage[i], n[i])
-                    names.add((doc[i].as_py(), start[i]))
-                elif not names or (doc[i].as_py(), start[i]) not in names:
-                    for a, b in held.stream(passage[i], n[i]):
-                        keep.append(i)
-                        spans.append((start[i] + a, start[i] + b))
+                words = passage[i].split(b" ")
+                if key != anchor[i]:
+                    key, automaton = anchor[i], SuffixAutomaton()
+                else:
+                    here: list[tuple[int, int]] = []
+                    for at, m in enumerate(automaton.statistics(words), 1):
+                        if m >= length:
+                            if here and here[-1][1] >= at - length:
+                                here[-1] = (here[-1][0], at)
+                            else:
+                                here.append((at - length, at))
+                    keep += [i] * len(here)
+                    spans += [(start[i] + a, start[i] + b) for a, b in here]
+                automaton.add(words)
             yield pa.RecordBatch.from_arrays(
-                [doc.take(pa.array(keep, pa.int64())), pa.array([s[0] for s in spans], pa.int32()),
-                 pa.array([s[1] for s in spans], pa.int32())], ["doc_id", "first", "last"])
+                [batch.column("doc_id").take(pa.array(keep, pa.int64())),
+                 pa.array([s[0] for s in spans], pa.int32()), pa.array([s[1] for s in spans], pa.int32())],
+                ["doc_id", "first", "last"])
 
-    shards = rows.repartition("route", "copy").sortWithinPartitions(
-        "route", "copy", "doc_id", "start", F.desc("reference"))
+    shards = passages.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
     return in_arrow(shards, run, f"doc_id {kind}, first int, last int")
 
 
+def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+    """``(doc_id, first, last)``: spans of words (``last`` is beyond) of one passage that lie in
+    windows whose words also start earlier. Intermediate tables are written on the way."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    times = F.sum("times").over(Window.partitionBy("anchor"))
+    often = _passages(docs, length).withColumn("all", times).filter(F.col("all") > 1)
+    place = F.struct("doc_id", "start", "n", "digest")
+    wanted = stored(often.select("anchor", F.explode(F.concat(F.array(place), "more")).alias("p"))
+                    .select("anchor", "p.*"), "passages")
+    # equal passages: what lies at all places but the first starts earlier there
+    keys = ["anchor", "digest", "n"]
+    copies, first = _later_places(wanted, keys, "firsts")
+    different = stored(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(
+        "anchor", (F.col("k") > shard).alias("split")), "anchors")
+    passages = stored(_contexts(docs, first.select(*keys, F.col("_d").alias("doc_id"), F.col("_s").alias(
+        "start")).join(different, "anchor"), length), "contexts")
+    windows, _ = _later_places(passages.filter("split"), ["anchor", "words"], "windows")
+    end = F.col("start") + length - 1
+    return copies.select("doc_id", F.col("start").alias("first"), (F.col("n") + end).alias("last")).unionByName(
+        windows.select("doc_id", F.col("start").alias("first"), (end + 1).alias("last"))).unionByName(
+        _streamed(passages.filter("NOT split"), length, kind))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept)`` for each row of ``docs``; kept: the words left,
     joined by one space.
