@@ -62,7 +62,7 @@ def op1(spark, sf_dir):
 @_query("op2_toxicity")
 def op2(spark, sf_dir):
     found = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return found.withColumn("toxic", F.col("p_toxic") >= 0.5)
+    return found.select("doc_id", "p_quality", "p_toxic", F.col("toxic_pred").alias("toxic"))
 
 
 @_query("op3_licences")
