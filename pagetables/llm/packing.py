@@ -162,6 +162,7 @@ def places(ids: list[np.ndarray], vocabulary: int = 1 << 16) -> np.ndarray:
 
 
 def _width(path: str) -> type:
+    """Kind of a stored id; found on the driver, as reading the file takes a while."""
     from tokenizers import Tokenizer
 
     return np.uint16 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else np.uint32
@@ -170,9 +171,9 @@ def _width(path: str) -> type:
 def tokenised(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """``(row_id, doc_id, place, n, ids)``: ids of the whole text and ``end``, little-endian."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    width = _width(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = _width(path)
         for batch, texts in by_text(batches):
             ids = tokens_of(path).encode([(t or b"").decode("utf-8") for t in texts])
             ids = [np.append(i, np.uint32(end)) for i in ids]
@@ -230,9 +231,9 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> Da
     kept = stored(tokenised(docs, path, end), "tokens")
     at = _running(kept.select("row_id", "place", "n"))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    width = _width(path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = _width(path)
         for batch, ids in by_text(batches, "ids"):
             rows, out = [], {k: [] for k in ("start", "length", "ids", "doc_tokens",
                                              "sequence_id", "offset")}
