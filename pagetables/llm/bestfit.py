@@ -280,7 +280,9 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> Da
                  pa.array(out[4], pa.int64()), pa.array(out[5], pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
 
-    placed = kept.join(first.select("task", "size", "before"), ["task", "size"], "left").select(
+    # the counts grow with the tasks and are larger than stored, so they are not broadcast
+    offsets = first.select("task", "size", "before").hint("merge")
+    placed = kept.join(offsets, ["task", "size"], "left").select(
         "doc_id", "ids", "task", "size", "wholes",
         (F.col("rank") + F.coalesce("before", F.lit(0))).alias("rank"))
     return in_arrow(placed, cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary, "
