@@ -24,7 +24,7 @@ DIMS, BITS = 4, 10
 #: Words whose ids a Python worker remembers: those met again, and the latest ones.
 OFTEN, LATEST = 300_000, 200_000
 
-_STOP = re.compile(r"(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,])(?=[ \n]|\Z)")
+_STOP = re.compile(r"([.,])(?<=[a-z\u00df-\u00f6\u00f8-\u00ff][.,])(?=[ \n]|\Z)")
 _BEYOND = re.compile(r"[^\x00-\u024f]")
 _PROBE = "Don't  STOP, the 2nd 'Élan' of wörds.\nnow... x.y, ($5.) End."
 
