@@ -1,15 +1,19 @@
 """Licence scan: a trained paragraph classifier, confirmed against templates.
 
-Every paragraph is classified by multinomial logistic regression on its words and word
-pairs: one class for each licence family and one for text that is no licence (unknown). The
-unknown class is calibrated: a family counts only where its probability, at a temperature
-fitted on variants held out, reaches a threshold that lets through none of the held-out
-corpus paragraphs. A prediction then has to share enough of a template's word pairs.
+Lines are joined where a sentence goes on in the next one, so that wrapped notices are read
+whole; lines that were joined are read by themselves too. A sentence is classified by
+logistic regression on its words and word pairs, a long one in overlapping windows: one
+class for each licence family and one for text that is no licence (unknown). The unknown
+class is calibrated: a family counts only where its probability, at a temperature fitted on
+variants held out, reaches a threshold that lets through none of the held-out corpus
+sentences. A prediction is confirmed if some run of words holds enough of the word pairs of
+a template of the family, and no other family's template fits better.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,157 +22,256 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetables.llm.common import by_text, in_arrow
+from pagetables.llm.linear import Sparse, fit
 
-#: Short notices of common licences, by family.
+#: Notices and distinctive sentences of common licences, by family.
 TEMPLATES = {
+    "AGPL": (
+        "GNU Affero General Public License, version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms "
+        "of the GNU Affero General Public License as published by the Free Software Foundation.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later"),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this "
         "file except in compliance with the License.",
+        "under the Apache License 2.0",
+        "Apache License Version 2.0, January 2004",
         "SPDX-License-Identifier: Apache-2.0"),
     "BSD": (
         "Released under the BSD License.",
+        "under the BSD 3-Clause License",
+        "under the BSD 2-Clause License",
         "Redistribution and use in source and binary forms, with or without modification, are "
         "permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of "
+        "conditions and the following disclaimer in the documentation and/or other materials "
+        "provided with the distribution.",
         "SPDX-License-Identifier: BSD-3-Clause"),
     "CC-BY": (
         "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "Creative Commons Attribution 4.0 International Public License"),
     "CC-BY-NC": (
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 "
+        "International License.",
+        "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    "CC-BY-NC-ND": (
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives "
+        "4.0 International License."),
+    "CC-BY-NC-SA": (
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 "
+        "International License."),
+    "CC-BY-ND": (
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 "
         "International License."),
     "CC-BY-SA": (
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 "
-        "International License."),
+        "International License.",
+        "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
     "GPL": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms "
         "of the GNU General Public License as published by the Free Software Foundation.",
-        "SPDX-License-Identifier: GPL-3.0-or-later"),
+        "GNU General Public License Version 3, 29 June 2007",
+        "GNU General Public License Version 2, June 1991",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0"),
+    "ISC": (
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
+        "without fee is hereby granted",
+        "provided that the above copyright notice and this permission notice appear in all copies",
+        "SPDX-License-Identifier: ISC"),
+    "LGPL": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms "
+        "of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "GNU Lesser General Public License Version 3, 29 June 2007",
+        "SPDX-License-Identifier: LGPL-3.0-or-later"),
     "MIT": (
         "Released under the MIT License.",
+        "under the MIT License",
+        "The MIT License (MIT)",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
         "software and associated documentation files",
+        "to deal in the Software without restriction, including without limitation the rights to "
+        "use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+        "Software",
+        "The above copyright notice and this permission notice shall be included in all copies or "
+        "substantial portions of the Software.",
         "SPDX-License-Identifier: MIT"),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "under the Mozilla Public License 2.0",
+        "Mozilla Public License Version 2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at",
         "SPDX-License-Identifier: MPL-2.0"),
     "Proprietary": (
         "All rights reserved.",
-        "Copyright. All rights reserved. No part of this work may be reproduced without "
-        "permission."),
+        "No part of this work may be reproduced without permission.",
+        "No part of this publication may be reproduced, distributed, or transmitted in any form "
+        "or by any means without the prior written permission of the publisher."),
     "Public-Domain": (
         "This work is dedicated to the public domain.",
-        "Released under CC0 1.0 Universal."),
+        "Released under CC0 1.0 Universal.",
+        "CC0 1.0 Universal",
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+        "SPDX-License-Identifier: CC0-1.0"),
 }
-#: Bound of the sample of corpus paragraphs that stand for text without a licence.
+#: Bound of the sample of corpus sentences that stand for text without a licence.
 SAMPLE = 4000
 #: Variants made from each template for training.
-VARIANTS = 40
-#: Share of a template's word pairs that a paragraph must hold, and of the paragraph's words
-#: that must be the template's.
-CONFIRM, MOST_OTHER = 0.6, 0.5
+VARIANTS = 24
+#: Share of a template's word pairs that a run of words must hold; a template of at most
+#: ``PHRASE`` words must be there word for word.
+CONFIRM, PHRASE = 0.6, 6
+#: Corpus sentences that hold this share of a template take no part in training.
+ALIKE = 0.3
+#: Words of a window and of the step to the next one; a template has at most their difference.
+WINDOW, STEP = 48, 16
+#: Windows that are classified together.
+TOGETHER = 4096
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+_NONE = re.compile(rb"[0-9A-Za-z\x80-\xff]")
+_ENDS = re.compile(rb"[.!?:;][\"')\]]*\s*$")
+_SENTENCE = re.compile(rb"(?<=[.!?:;])\s+(?=[^a-z0-9\s])")
 
 
 def words(paragraph: bytes) -> list[bytes]:
     return _WORD.findall(paragraph.lower())
 
 
-def _grams(w: list[bytes]) -> list[bytes]:
-    return w + [a + b" " + b for a, b in zip(w, w[1:])]
+def _pairs(w: list[bytes]) -> list[bytes]:
+    return [a + b" " + b for a, b in zip(w, w[1:])]
+
+
+def paragraphs(text: bytes) -> Iterator[list[bytes]]:
+    """Lines with a word in them, together with those that a sentence goes on in."""
+    open_ = []
+    for line in text.split(b"\n"):
+        if _NONE.search(line):
+            open_.append(line)
+            if not _ENDS.search(line):
+                continue
+        if open_:
+            yield open_
+        open_ = []
+    if open_:
+        yield open_
+
 
+def sentences(lines: list[bytes]) -> Iterator[list[bytes]]:
+    """Words of each sentence of a paragraph, and of each line if these are several."""
+    for part in _SENTENCE.split(b" ".join(lines)):
+        yield words(part)
+    if len(lines) > 1:
+        for line in lines:
+            for part in _SENTENCE.split(line):
+                yield words(part)
 
-def _variants(template: str, n: int, rng: np.random.Generator) -> list[list[bytes]]:
-    """The template's words with some dropped, doubled, or common words put between."""
-    base = words(template.encode())
+
+def windows(w: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of at most WINDOW words; any WINDOW - STEP words in a row lie in one of them."""
+    yield w[:WINDOW]
+    for at in range(STEP, len(w) - WINDOW + STEP, STEP):
+        yield w[at:at + WINDOW]
+
+
+def _variants(base: list[bytes], n: int, rng: np.random.Generator) -> list[list[bytes]]:
+    """A template's words with some dropped, common words put between, and in half of them
+    unknown ones around."""
     filler = [b"the", b"of", b"this", b"is", b"and", b"by", b"file", b"project", b"code", b"2020"]
     out = [base]
-    for _ in range(n - 1):
+    for i in range(n - 1):
         w = [x for x in base if len(base) < 4 or rng.random() > 0.08]
         for _ in range(rng.integers(0, 3)):
             w.insert(int(rng.integers(0, len(w) + 1)), filler[int(rng.integers(len(filler)))])
+        if i % 2:
+            around = int(rng.integers(0, min(3 * len(w), WINDOW)))
+            before = int(rng.integers(0, around + 1))
+            w = [b""] * before + w + [b""] * (around - before)  # no word is empty
         out.append(w)
     return out
 
 
 class LicenceModel:
-    """Families, word and pair numbers, weights, temperature and threshold."""
+    """Families, template pairs, word and pair numbers, weights, temperature and threshold."""
 
     def __init__(self, templates: dict[str, tuple[str, ...]], corpus: list[bytes]):
         rng = np.random.default_rng(11)
         self.families = sorted(templates)
-        self.pairs = [[set(_grams(words(t.encode()))) for t in templates[f]] for f in self.families]
         rows, labels, held = [], [], []
+        self.templates: list[tuple[int, int, int]] = []  # family, words, pairs
+        self.having: dict[bytes, list[int]] = {}
         for i, f in enumerate(self.families):
-            for t in templates[f]:
-                for j, v in enumerate(_variants(t, VARIANTS, rng)):
-                    rows.append(_grams(v))
+            for base in (words(t.encode()) for t in templates[f]):
+                if not 3 <= len(base) <= WINDOW - STEP:
+                    raise ValueError(f"a template has 3 to {WINDOW - STEP} words: {base}")
+                for pair in set(_pairs(base)):
+                    self.having.setdefault(pair, []).append(len(self.templates))
+                self.templates.append((i, len(base), len(set(_pairs(base)))))
+                for j, v in enumerate(_variants(base, VARIANTS, rng)):
+                    rows.append(v)
                     labels.append(i)
                     held.append(j % 4 == 3)
+        self.names = {g: i for i, g in enumerate(sorted(
+            {g for r in rows for g in (*r, *_pairs(r)) if g.strip() == g != b""}))}
         none = len(self.families)
         for j, p in enumerate(corpus):
-            w = words(p)
-            if not any(self._confirmed(i, w) for i in range(none)):
-                rows.append(_grams(w))
-                labels.append(none)
-                held.append(j % 4 == 3)
-        self.names = {g: i for i, g in enumerate(sorted(
-            {g for r, y in zip(rows, labels) if y < none for g in r}))}
+            parts = [w for s in sentences([p]) for w in windows(s) if w]
+            if parts:
+                w = parts[len(p) % len(parts)]
+                if not any(share >= ALIKE for share, _ in self.shares(w).values()):
+                    rows.append(w)
+                    labels.append(none)
+                    held.append(j % 4 == 3)
         self._fit(rows, np.array(labels), np.array(held, bool))
 
-    def features(self, w: list[bytes]) -> tuple[list[int], float]:
-        """Numbers of the known words and pairs, and the share of words that is unknown."""
+    def features(self, w: list[bytes]) -> tuple[list[int], float, bool]:
+        """Numbers of the known words and pairs, the share of words that is unknown, and
+        whether there is a known pair."""
         names = self.names
-        found = [names[g] for g in _grams(w) if g in names]
-        other = sum(x not in names for x in w) / len(w) if w else 1.0
-        return found, other
-
-    def _logits(self, feats: list[tuple[list[int], float]]) -> np.ndarray:
-        out = np.tile(self.bias, (len(feats), 1))
-        for i, (found, other) in enumerate(feats):
-            if found:
-                out[i] += self.weights[found].sum(axis=0) / np.sqrt(len(found))
-            out[i] += other * self.other
-        return out
-
-    def _fit(self, rows, labels, held, rounds: int = 200, rate: float = 0.5, l2: float = 1e-3):
-        k = len(self.families) + 1
-        feats = [self.features(self._single(r)) for r in rows]
-        use = np.flatnonzero(~held)
-        x = np.zeros((len(rows), len(self.names) + 2), np.float32)
-        for i, (found, other) in enumerate(feats):
-            for f in found:
-                x[i, f] += 1 / np.sqrt(len(found))
-            x[i, -2:] = other, 1
-        y = np.eye(k)[labels]
-        balance = (1 / np.maximum(np.bincount(labels[use], minlength=k), 1))[labels[use]]
-        balance /= balance.sum()
-        w = np.zeros((x.shape[1], k), np.float32)
-        xu, xt = x[use], np.ascontiguousarray(x[use].T)
-        pull = (balance[:, None]).astype(np.float32)
-        yu = y[use].astype(np.float32)
-        speed = np.zeros_like(w)
-        for _ in range(rounds):
-            z = xu @ w
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            g = xt @ (pull * (p - yu)) + np.float32(l2 / k) * w
-            speed = np.float32(0.9) * speed - np.float32(rate * 8) * g
-            w += speed
-        self.weights, self.other, self.bias = w[:-2], w[-2], w[-1]
-        z = x[held] @ w
-        self.temperature = min(np.geomspace(0.25, 4, 25), key=lambda t: self._loss(z / t, labels[held]))
-        p = self._softmax(z)
-        none = labels[held] == k - 1
-        self.threshold = max(0.5, float(p[none, :-1].max(initial=0)))
+        found = [names[x] for x in w if x in names]
+        other = 1 - len(found) / max(len(w), 1)
+        if len(found) < 2:
+            return found, other, False
+        single = len(found)
+        found += [names[x] for x in _pairs(w) if x in names]
+        return found, other, len(found) > single
 
-    @staticmethod
-    def _single(grams: list[bytes]) -> list[bytes]:
-        return [g for g in grams if b" " not in g]
+    def _sparse(self, feats: list[tuple[list[int], float, bool]]) -> Sparse:
+        n = np.array([len(f[0]) for f in feats], np.int64)
+        row = np.repeat(np.arange(len(feats)), n)
+        col = np.fromiter((c for f in feats for c in f[0]), np.int64, int(n.sum()))
+        return Sparse(row, col, (1 / np.sqrt(np.maximum(n, 1)))[row], len(feats), len(self.names),
+                      np.array([[f[1]] for f in feats]).reshape(len(feats), 1))
+
+    def _logits(self, x: Sparse) -> np.ndarray:
+        return np.stack([x.dot(w) + b for w, b in self.models], axis=1)
+
+    def _fit(self, rows: list[list[bytes]], labels: np.ndarray, held: np.ndarray, l2: float = 1e-5):
+        """One class against the others at a time, both halves with the same weight."""
+        k = len(self.families) + 1
+        x = self._sparse([self.features(r) for r in rows])
+        self.models = []
+        for c in range(k):
+            y = (labels == c).astype(float)
+            weight = np.where(y > 0, 1 / max((y * ~held).sum(), 1), 1 / max(((1 - y) * ~held).sum(), 1))
+            self.models.append(fit(x, y, weight * ~held, l2))
+        z, y = self._logits(x)[held], labels[held]
+        self.temperature = min(np.geomspace(0.25, 4, 25), key=lambda t: self._loss(z / t, y))
+        none = y == k - 1
+        self.threshold = max(0.5, float(self._softmax(z)[none, :-1].max(initial=0)))
 
     @staticmethod
     def _loss(z: np.ndarray, y: np.ndarray) -> float:
@@ -180,41 +283,71 @@ class LicenceModel:
         p = np.exp(z - z.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
+    def shares(self, w: list[bytes]) -> dict[int, tuple[float, int]]:
+        """For each family that shares a pair with ``w``: the largest share, and number, of a
+        template's pairs in a run of at most twice the template's words."""
+        at: dict[int, list[tuple[int, bytes]]] = {}
+        for i, pair in enumerate(_pairs(w)):
+            for t in self.having.get(pair, ()):
+                at.setdefault(t, []).append((i, pair))
+        best: dict[int, tuple[float, int]] = {}
+        for t, hits in at.items():
+            family, size, pairs = self.templates[t]
+            inside, first, most = Counter(), 0, 0
+            for i, pair in hits:
+                inside[pair] += 1
+                while i - hits[first][0] > 2 * size - 2:
+                    inside[hits[first][1]] -= 1
+                    if not inside[hits[first][1]]:
+                        del inside[hits[first][1]]
+                    first += 1
+                most = max(most, len(inside))
+            share = most / pairs
+            if size <= PHRASE and share < 1:
+                share = min(share, ALIKE)  # never confirmed
+            best[family] = max(best.get(family, (0.0, 0)), (share, most))
+        return best
+
     def _confirmed(self, family: int, w: list[bytes]) -> bool:
-        if not w:
-            return False
-        grams, own = set(_grams(w)), set(w)
-        return any(len(t & grams) >= CONFIRM * len(t) and
-                   len(own - t) <= MOST_OTHER * len(own) for t in self.pairs[family])
-
-    def scan(self, paragraphs: list[bytes]) -> tuple[list[str], int]:
-        """Families confirmed in a text, sorted, and paragraphs that look like a licence but
-        match no template of the predicted family."""
-        some, feats = [], []
-        for p in paragraphs:
-            w = words(p)
-            f = self.features(w)
-            if f[0]:
-                some.append(w)
-                feats.append(f)
-        if not feats:  # no known word at all: unknown
-            return [], 0
-        p = self._softmax(self._logits(feats))
-        best = np.argmax(p[:, :-1], axis=1)
-        sure = p[np.arange(len(best)), best] > self.threshold
-        found, doubtful = set(), 0
-        for i in np.flatnonzero(sure).tolist():
-            if self._confirmed(int(best[i]), some[i]):
-                found.add(self.families[best[i]])
-            else:
-                doubtful += 1
-        return sorted(found), doubtful
+        shares = self.shares(w)
+        own = shares.get(family, (0.0, 0))
+        return own[0] >= CONFIRM and own == max(shares.values())
+
+    def scan(self, text: bytes) -> tuple[list[str], int, int]:
+        """Families confirmed in a text, sorted, the number of its paragraphs, and of those
+        that look like a licence without a sentence that a template confirms."""
+        found, doubtful, confirmed = set(), set(), set()
+        waiting, n = [], -1
+
+        def judge():
+            p = self._softmax(self._logits(self._sparse([f for _, _, f in waiting])))
+            best = np.argmax(p[:, :-1], axis=1)
+            for i in np.flatnonzero(p[np.arange(len(best)), best] > self.threshold).tolist():
+                paragraph, w, _ = waiting[i]
+                if self._confirmed(int(best[i]), w):
+                    found.add(self.families[best[i]])
+                    confirmed.add(paragraph)
+                else:
+                    doubtful.add(paragraph)
+            waiting.clear()
+
+        for n, lines in enumerate(paragraphs(text)):
+            for s in sentences(lines):
+                for w in windows(s):
+                    f = self.features(w)
+                    if f[2]:  # without a known pair: unknown
+                        waiting.append((n, w, f))
+                        if len(waiting) >= TOGETHER:
+                            judge()
+        if waiting:
+            judge()
+        return sorted(found), n + 1, len(doubtful - confirmed)
 
 
 def train(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES,
           sample: int = SAMPLE) -> LicenceModel:
     """Fit a model: variants of the templates against paragraphs of at most about ``sample``
-    texts, those with the smallest hashes, one paragraph of each."""
+    texts, those with the smallest hashes, a sentence of one line of each."""
     known = docs.filter("text IS NOT NULL").select("text", F.xxhash64("doc_id").alias("h"))
     n = known.select("h").count()
     share = min(1.0, sample / n) if n else 1.0
@@ -228,7 +361,8 @@ def train(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES,
 def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
     """``(doc_id, n_paragraphs, licences, n_unconfirmed)`` for each row, from the whole text.
 
-    licences: sorted array of the families confirmed in any paragraph (a line); n_unconfirmed:
+    A paragraph is a line with a letter or digit, and the lines that its last sentence goes
+    on in. licences: sorted array of the families confirmed in any of them; n_unconfirmed:
     paragraphs taken for a licence that no template confirms. Null and empty texts have no
     paragraph. Rows are judged each by itself, repeated ones and those with a null doc_id
     too. An empty table gives no rows. Other columns are not read.
@@ -239,9 +373,8 @@ def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
         for batch, texts in by_text(batches):
             n, found, doubtful = [], [], []
             for t in texts:
-                parts = [p for p in (t or b"").split(b"\n") if p.strip()]
-                names, d = model.scan(parts)
-                n.append(len(parts))
+                names, count, d = model.scan(t or b"")
+                n.append(count)
                 found.append(names)
                 doubtful.append(d)
             yield pa.RecordBatch.from_arrays(

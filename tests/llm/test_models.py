@@ -105,7 +105,7 @@ def test_licences_of_the_corpus(corpus):
 
 def test_licence_variants_and_unknown(corpus):
     model = licences.train(corpus)
-    scan = lambda *p: model.scan([x.encode() for x in p])[0]
+    scan = lambda *p: model.scan("\n".join(p).encode())[0]
     assert scan("This project is released under the MIT License") == ["MIT"]
     assert scan("licensed under the APACHE LICENSE, version 2.0", "Released under the BSD License.") == [
         "Apache-2.0", "BSD"]
