@@ -205,26 +205,60 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
                 [batch.column("h"), *(batch.column(c) for c in categories), pa.array(out, pa.binary())],
                 ["h", *categories, "words"])
 
-    got = sorted(in_arrow(rows, run, rows.schema).collect(),  # at most ``sample`` rows
-                 key=lambda r: (r["h"], r["words"], repr(tuple(r)[1:-1])))
-    labelled = np.array([[np.nan if r[c] is None else r[c] for c in categories] for r in got],
-                        float).reshape(len(got), len(categories))
-    given, y = ~np.isnan(labelled), np.nan_to_num(labelled)
-    fold = np.array([r["h"] % folds for r in got], np.int64)
-    odds = np.zeros((len(got), len(categories)))
-    x = _features([np.frombuffer(r["words"], np.uint32) for r in got], size)
-    del got
-    models, least = [], []
+    known = stored(in_arrow(rows, run, rows.schema), "columns")
+    odds, models, least = None, [], []
     for j in range(len(categories)):
-        x = Sparse(x.row, x.col, x.value, x.n, size, odds[:, :j])
-        for f in range(folds):
-            w, b = fit(x, y[:, j], (given[:, j] & (fold != f)).astype(float), l2)
-            odds[fold == f, j] = (x.dot(w) + b)[fold == f]
-        models.append(fit(x, y[:, j], given[:, j].astype(float), l2))
-        least.append(threshold(odds[given[:, j], j], y[given[:, j], j]))
+        found = {r["part"]: r for r in _fits(known, size, categories, j, odds, folds, l2).collect()}
+        if not found:  # no row at all
+            models.append((np.zeros(size + j), 0.0))
+            least.append(0.5)
+            continue
+        last = found[folds]
+        models.append((np.frombuffer(last["weights"]), last["intercept"]))
+        y = np.frombuffer(last["labels"])
+        own = np.zeros((len(y), 1))
+        for r in found.values():
+            own[np.frombuffer(r["rows"], np.int64), 0] = np.frombuffer(r["odds"])
+        given = ~np.isnan(y)
+        least.append(threshold(own[given, 0], y[given]))
+        odds = own if odds is None else np.append(odds, own, axis=1)
     return Chain(list(categories), vocabulary, models, least)
 
 
+def _fits(known: DataFrame, size: int, categories: list[str], j: int, odds: np.ndarray | None,
+          folds: int, l2: float) -> DataFrame:
+    """Models of category ``j`` without each fold in turn (``part``) and on all rows (the last
+    part), every one fitted by a task of its own on the bounded sample: weights, intercept, and the
+    odds of the rows left out. Rows are numbered in the order of their content, which is the
+    same in all tasks; ``odds`` are those of the categories before, by these numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[tuple]] = {}
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("part", "h", "words", *categories)]
+            for part, *row in zip(*columns):
+                parts.setdefault(part, []).append(row)
+        for part in sorted(parts):
+            got = sorted(parts.pop(part), key=lambda r: (r[0], r[1], repr(r[2:])))
+            labels = np.array([np.nan if r[2 + j] is None else r[2 + j] for r in got], float)
+            given, y = ~np.isnan(labels), np.nan_to_num(labels)
+            fold = np.array([r[0] % folds for r in got], np.int64)
+            x = _features([np.frombuffer(r[1], np.uint32) for r in got], size, odds)
+            w, b = fit(x, y, (given & (fold != part)).astype(float), l2)
+            out = np.flatnonzero(fold == part)
+            whole = part == folds
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([w.tobytes()], pa.binary()), pa.array([b], pa.float64()),
+                 pa.array([out.astype(np.int64).tobytes()], pa.binary()),
+                 pa.array([(x.dot(w) + b)[out].tobytes()], pa.binary()),
+                 pa.array([labels.tobytes() if whole else b""], pa.binary())],
+                ["part", "weights", "intercept", "rows", "odds", "labels"])
+
+    copies = known.select(F.explode(F.sequence(F.lit(0), F.lit(folds))).alias("part"), *known.columns)
+    return in_arrow(copies.repartitionByRange(folds + 1, "part"), run, "part int, weights binary, "
+                    "intercept double, rows binary, odds binary, labels binary")
+
+
 def predict(docs: DataFrame, chain: Chain) -> DataFrame:
     """``doc_id``, ``p_<category>`` and ``<category>_pred`` for each row, from the whole text.
 
