@@ -9,6 +9,7 @@ sequence length: no sequence but the last is padded.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +24,14 @@ END = 1
 DIMS, BITS = 4, 10
 #: Words whose ids a Python worker remembers: those met again, and the latest ones.
 OFTEN, LATEST = 300_000, 200_000
+#: New words that are encoded as one line.
+LINE = 64
 
-_STOP = re.compile(r"([.,])(?<=[a-z\u00df-\u00f6\u00f8-\u00ff][.,])(?=[ \n]|\Z)")
+#: Signs at the end of a word: found by themselves first, which is cheap, then by the letter before.
+_SIGN = r"[!-/:-@\[-`{-~]"
+_ENDING = re.compile(rf"({_SIGN})(?<=[a-z\u00df-\u00f6\u00f8-\u00ff]{_SIGN})({_SIGN}*+)(?=[ \n]|\Z)")
 _BEYOND = re.compile(r"[^\x00-\u024f]")
-_PROBE = "Don't  STOP, the 2nd 'Élan' of wörds.\nnow... x.y, ($5.) End."
+_PROBE = "Don't  STOP, the 2nd 'Élan' of wörds.\nnow... x.y, ($5.) what?! a%%% it's' <b> End."
 
 
 class ChunkTokens:
@@ -34,7 +39,7 @@ class ChunkTokens:
 
     For a tokenizer that lower-cases, drops white space, never joins letters with other
     characters and marks the end of a word, the ids of a text are those of its words end to
-    end. Texts are cut at blanks and line feeds, and a full stop or comma after a letter is
+    end. Texts are cut at blanks and line feeds, and ASCII signs that follow a letter at the end of a word are
     cut off; words met before are looked up, others go through the tokenizer together. If
     the tokenizer does not do this with a probe, texts are encoded whole.
     """
@@ -57,17 +62,17 @@ class ChunkTokens:
 
     @staticmethod
     def _cut(text: str) -> list[str]:
-        if "<|" not in text and not _BEYOND.search(text):
-            text = _STOP.sub(r" \1", text.lower())
+        if "<|" not in text and (text.isascii() or not _BEYOND.search(text)):
+            text = _ENDING.sub(r" \1\2", text.lower())
         return text.replace("\n", " ").split(" ")
 
     def _encode_new(self, new: list[str]) -> dict[str, bytes]:
         found = {}
         plain = [w for w in new if w.isalpha()]
-        for at in range(0, len(plain), 512):
-            part = plain[at:at + 512]
+        for at in range(0, len(plain), LINE):
+            part = plain[at:at + LINE]
             line = " ".join(part)
-            if _BEYOND.search(line):
+            if not line.isascii() and _BEYOND.search(line):
                 continue
             ids = np.array(self.tokenizer.encode(line, add_special_tokens=False).ids, np.uint32)
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()  # a word is one run of letters
@@ -77,7 +82,8 @@ class ChunkTokens:
         rest = [w for w in new if w not in found]
         for at in range(0, len(rest), 4096):
             part = rest[at:at + 4096]
-            found |= zip(part, (x.tobytes() for x in self._whole(part)))
+            found |= zip(part, (array("I", e.ids).tobytes() for e in
+                                self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
         return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -101,7 +107,7 @@ class ChunkTokens:
             self.latest.clear()
         if len(fresh) <= LATEST:
             self.latest |= fresh
-        return [np.frombuffer(b"".join([found[w] for w in ws]), np.uint32) for ws in words]
+        return [np.frombuffer(b"".join(map(found.__getitem__, ws)), np.uint32) for ws in words]
 
 
 _TOKENS: dict[str, ChunkTokens] = {}
