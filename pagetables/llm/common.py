@@ -18,9 +18,12 @@ TEXT_BYTES = 1 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder of the session; one of its own is set only where none is named."""
+    """Shared folder of the session. Where none is named, one of its own is set in local mode, as in
+    tests; on a cluster this raises ``ValueError``, since machines do not share their folders."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("intermediate tables need a shared folder: set spark.checkpoint.dir")
         shared = tempfile.mkdtemp(prefix="llm-work-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
