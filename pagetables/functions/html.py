@@ -21,13 +21,13 @@ OPEN, SHUT = "\u0001", "\u0002"
 # A tag up to its '>'; a '>' inside a quoted value does not count.
 TAG = r"""<(/?[a-zA-Z][^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+)>"""
 COMMENT = r"(?s)<!(?:--.*?(?:-->|\z)|[^>]*+>)"
-HIDDEN = (r"(?is)<(?:script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)"
+HIDDEN = (r"(?is)<(?=[s!\u017f])(?:script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)"
           r"|!--.*?(?:-->|\z)|![^>]*+>)")
 HEAD = rf"(?is){OPEN}head\b.*?{OPEN}/head\s*{SHUT}"
 BLOCKS = ("br|p|div|li|ul|ol|tr|table|tbody|thead|tfoot|caption|h[1-6]|section|article|header"
           "|footer|main|aside|nav|form|hr|dl|dt|dd|blockquote|pre|address|body|html|figure"
           "|fieldset|option|select")
-BLOCK_TAG = rf"(?i){OPEN}/?(?:{BLOCKS})\b[^{SHUT}]*{SHUT}"
+BLOCK_TAG = rf"(?i){OPEN}/?(?!t[dh]\b)(?:{BLOCKS})\b[^{SHUT}]*{SHUT}"
 CELL_TAG = rf"(?i){OPEN}/?t[dh]\b[^{SHUT}]*{SHUT}"
 SPACE_RUN = r"[ \t\r\n\f]{2,}|[\t\r\n\f]"
 ANY_TAG = f"{OPEN}[^{SHUT}]*{SHUT}"
@@ -37,14 +37,17 @@ ANY_TAG = f"{OPEN}[^{SHUT}]*{SHUT}"
 
 def marked(html: Column, hidden: str = HIDDEN) -> Column:
     """Marked text of a page; ``hidden`` is the pattern of what is left out."""
-    bare = F.regexp_replace(F.translate(html, OPEN + SHUT, ""), hidden, "")
+    # 'translate' looks up character by character, so it is left to pages that need it
+    taken = F.contains(html, F.lit(OPEN)) | F.contains(html, F.lit(SHUT))
+    clear = F.when(taken, F.translate(html, OPEN + SHUT, "")).otherwise(html)
+    bare = F.regexp_replace(clear, hidden, "")
     return decode_entities(F.regexp_replace(bare, TAG, f"{OPEN}$1{SHUT}"))
 
 
 def decode_entities(c: Column) -> Column:
     """Named (HTML 4) and numeric entities in one pass; a no-break space becomes a space."""
-    return let(c, lambda x: F.translate(
-        F.when(F.contains(x, F.lit("&")), _decode(x)).otherwise(x), "\u00a0", " "))
+    return let(c, lambda x: F.replace(
+        F.when(F.contains(x, F.lit("&")), _decode(x)).otherwise(x), F.lit("\u00a0"), F.lit(" ")))
 
 
 def _decode(c: Column) -> Column:

@@ -111,3 +111,15 @@ def test_next_link_ranks(pages):
     assert [(r["next_rank"], r["next_url"]) for r in got] == [
         (1, base + "b"), (None, None), (2, None), (3, None), (6, base + "c"), (7, base + "d"),
         (8, None), (9, None), (None, None)]
+
+
+def test_marks_of_our_own_and_no_break_spaces_go(evaluate):
+    texts = ["a\u0001b<p>\u0002c", " x&nbsp;y ", "<ſcript>1</script>z", "plain", None]
+    got = evaluate(texts, H.marked(F.col("t")))
+    assert got[:2] == [f"ab{H.OPEN}p{H.SHUT}c", " x y "] and got[3:] == ["plain", None]
+
+
+def test_pages_are_not_looked_up_by_character(pages):
+    """'translate' stands behind a test for the marks, and nowhere else in the marking."""
+    plan = S.mark_pages(pages("<p>x</p>"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1 and plan.index("Contains") < plan.index("translate(")
