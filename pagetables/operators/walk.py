@@ -48,25 +48,30 @@ def walk_order(links: DataFrame, source: str = "source", work_dir: str | None =
         "page_id", "back", F.when(F.col("back").isNull(), F.col("page_id")).alias("start"),
         F.lit(0).cast("bigint").alias("step"), F.col("page_id").alias("low"),
         F.lit(0).cast("bigint").alias("low_at"))
-    span, last = 1, None
-    while True:
-        open_ = state.filter("start IS NULL").count()
-        if open_ == 0 or (open_ == last and span >= open_):
-            break
-        last = open_
-        there = state.select(
+    # A round in which nothing is done leaves cycles only; where no smallest page moved either, every
+    # way looked at holds the smallest page of its cycle. What is done is not written again.
+    done, open_rows = state.filter("start IS NOT NULL"), state.filter("start IS NULL")
+    span, last, moves = 1, None, None
+    n_open = open_rows.count()
+    while n_open > 0 and not (n_open == last and moves == 0):
+        there = done.unionByName(open_rows).select(
             F.col("page_id").alias("back"), F.col("back").alias("_back"), F.col("start").alias("_start"),
             F.col("step").alias("_step"), F.col("low").alias("_low"), F.col("low_at").alias("_low_at"))
         lower = F.col("_low") < F.col("low")
-        moved = state.filter("start IS NULL").join(there, "back").select(
+        moved = open_rows.join(there, "back").select(
             "page_id", F.col("_back").alias("back"), F.col("_start").alias("start"),
             F.when(F.col("_start").isNotNull(), F.col("_step") + span).otherwise(0).alias("step"),
             F.when(lower, F.col("_low")).otherwise(F.col("low")).alias("low"),
-            F.when(lower, F.col("_low_at") + span).otherwise(F.col("low_at")).alias("low_at"))
-        state = materialise(state.filter("start IS NOT NULL").unionByName(moved), "walk", work_dir)
+            F.when(lower, F.col("_low_at") + span).otherwise(F.col("low_at")).alias("low_at"),
+            lower.alias("_moved"))
+        moved = materialise(moved, "walk", work_dir)
+        done = done.unionByName(moved.filter("start IS NOT NULL").drop("_moved"))
+        open_rows = moved.filter("start IS NULL").drop("_moved")
+        last = n_open
+        n_open, moves = moved.agg(F.count_if(F.col("start").isNull()), F.count_if(F.col("start").isNull() & F.col("_moved"))).first()
         span *= 2
     # what is left lies on cycles no longer than the way looked at
-    cut = state.select("page_id", F.coalesce("start", "low").alias("start_page_id"),
+    cut = done.unionByName(open_rows).select("page_id", F.coalesce("start", "low").alias("start_page_id"),
                        F.when(F.col("start").isNull(), F.col("low_at")).otherwise(
                            F.col("step")).alias("step"))
     return links.select(source, "page_id").join(cut, "page_id").select(

@@ -169,3 +169,16 @@ def test_changes_are_the_multiset_differences(spark):
     added = T.changes(a.limit(0), b, ["k", "name"]).collect()
     assert {r.change for r in added} == {"added"} and sum(r.n_after for r in added) == 60
     assert T.changes(a, a, ["k"]).collect() == []
+
+
+def test_rounds_do_not_grow_with_the_number_of_cycles(spark, tmp_path):
+    seen = []
+    real = W.materialise
+    try:
+        W.materialise = lambda df, name, work_dir=None: seen.append(name) or real(df, name, work_dir)
+        links = [(6 * c + i, 6 * c + (i * 5 + 1) % 6) for c in range(60) for i in range(6)]
+        got = order(spark, links, tmp_path)
+    finally:
+        W.materialise = real
+    assert got == walked(links)
+    assert seen.count("walk") <= 5
