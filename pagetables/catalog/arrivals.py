@@ -22,9 +22,11 @@ def stop_rules_stream(spark, sf_dir):
     schema = pages.drop("_at").schema
     for part in ("_at < 3", "_at >= 3"):
         pages.filter(part).repartition(3, "_at").drop("_at").write.mode("append").parquet(folder)
-        arriving = stream.read_pages_stream(spark, folder, schema, files_per_batch=2)
+        arriving = stream.read_pages_stream(
+            spark, folder, schema, files_per_batch=2, partitions=tables.work_partitions(spark))
         rules.follow_arrivals(arriving, held, f"{folder}-log").awaitTermination()
-    numbered = Q.current_page(spark.read.schema(schema).parquet(folder)).select("source", "page_no")
+    stored = spark.read.schema(schema).parquet(folder).repartition(tables.work_partitions(spark))
+    numbered = Q.current_page(stored).select("source", "page_no")
     return held.visited(numbered)
 
 
@@ -47,8 +49,9 @@ def keyed_save(spark, sf_dir):
         "sale_price", F.concat("sale_price", F.lit("9")))
     schema = "page_id bigint, row_idx int, property_address string, sale_price string, capture int"
     table = keyed.KeyedTable(spark, f"{folder}-table", schema, ["page_id", "row_idx"], "capture", buckets=8)
-    for crawl in (first.unionByName(again).repartition(3, "page_id"), again.unionByName(first.filter("page_id % 3 = 1"))):
-        crawl.select(*table.names).write.mode("append").parquet(folder)
+    # three files each, however many the records have: a batch writes the buckets it touches anew
+    for crawl in (first.unionByName(again), again.unionByName(first.filter("page_id % 3 = 1"))):
+        crawl.repartition(3, "page_id").select(*table.names).write.mode("append").parquet(folder)
         arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(folder)
         keyed.save_keyed(arriving, table, f"{folder}-log").awaitTermination()
     return table.read()

@@ -36,6 +36,12 @@ def materialise(df: DataFrame, name: str, work_dir: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def work_partitions(spark: SparkSession) -> int:
+    """Number of partitions for pages about to be parsed: a few for each core, as pages cost work
+    and not bytes, and as many as the session shuffles to at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def read_pages(spark: SparkSession, path: str, format: str = "parquet",
                partitions: int | None = None) -> DataFrame:
     """``pages(page_id, url, html)`` from Parquet or JSON, or from a folder of HTML files

@@ -11,14 +11,17 @@ from pagetables.sources.tables import PAGES_SCHEMA
 
 
 def read_pages_stream(spark: SparkSession, folder: str, schema=PAGES_SCHEMA,
-                      glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
-    """Pages from Parquet files that appear in a folder."""
+                      glob: str | None = None, files_per_batch: int | None = None,
+                      partitions: int | None = None) -> DataFrame:
+    """Pages from Parquet files that appear in a folder. ``partitions`` spreads the pages of a
+    batch, since few small files are otherwise parsed by few tasks."""
     reader = spark.readStream.schema(schema)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    pages = reader.parquet(folder)
+    return pages.repartition(partitions) if partitions else pages
 
 
 def append_records(records: DataFrame, path: str, checkpoint: str,

@@ -47,3 +47,15 @@ def test_dedupe_stream_keeps_one_of_each(spark, tmp_path):
         got = spark.read.schema(first.schema).parquet(out)
         assert got.count() == 1500
         assert got.select("property_address", "parcel_number", "owner_name").distinct().count() == 1500
+
+
+def test_pages_of_few_files_are_spread(spark, tmp_path):
+    folder, seen = f"{tmp_path}/in", []
+    render.result_pages(spark, SF).coalesce(1).write.parquet(folder)
+    pages = spark.read.parquet(folder)
+    arriving = stream.read_pages_stream(spark, folder, pages.schema, files_per_batch=2, partitions=12)
+    facts = arriving.select("page_id", F.spark_partition_id().alias("task"))
+    (facts.writeStream.foreachBatch(lambda df, batch: seen.extend(df.collect()))
+     .option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination())
+    assert len({r["task"] for r in seen}) == 12
+    assert sorted(r["page_id"] for r in seen) == sorted(r["page_id"] for r in pages.collect())
