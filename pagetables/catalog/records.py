@@ -315,7 +315,8 @@ def stored_pages(spark, sf_dir):
 SELECT page_id, row_idx, {texts(SALES_CORE, HEADED)} FROM shown""")
 def incremental_save(spark, sf_dir):
     folder, schema = stored_pages(spark, sf_dir)
-    arriving = stream.read_pages_stream(spark, folder, schema, files_per_batch=50)
+    arriving = stream.read_pages_stream(
+        spark, folder, schema, files_per_batch=50, partitions=tables.work_partitions(spark))
     records = extract.extract_sales(arriving, EXTRACTED_AT).select(
         "page_id", "row_idx", *SALES_CORE)
     out = tables.scratch_path(spark, "saved", work_dir(spark))
@@ -327,7 +328,7 @@ def incremental_save(spark, sf_dir):
 SELECT DISTINCT property_address, parcel_number, owner_name FROM shown""")
 def dedupe_stream(spark, sf_dir):
     folder, schema = stored_pages(spark, sf_dir)
-    arriving = stream.read_pages_stream(spark, folder, schema)
+    arriving = stream.read_pages_stream(spark, folder, schema, partitions=tables.work_partitions(spark))
     records = extract.extract_sales(arriving, EXTRACTED_AT)
     first = stream.dedupe_stream(records, unbounded_state=True)
     return saved(spark, first.select("property_address", "parcel_number", "owner_name"))
@@ -344,7 +345,8 @@ SELECT DISTINCT page_id, property_address, parcel_number, owner_name, sale_price
 def dedupe_stream_watermark(spark, sf_dir):
     """Copies within a page are whole, so the surviving record can be told."""
     folder, schema = stored_pages(spark, sf_dir)
-    arriving = stream.read_pages_stream(spark, folder, schema, files_per_batch=50)
+    arriving = stream.read_pages_stream(
+        spark, folder, schema, files_per_batch=50, partitions=tables.work_partitions(spark))
     records = extract.extract_sales(arriving, EXTRACTED_AT).withColumn(
         "arrived", F.col("extraction_date").cast("timestamp"))
     first = stream.dedupe_stream(records, scope="page", arrival="arrived")
