@@ -42,8 +42,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def by_text(batches: Iterable[pa.RecordBatch], column: str = "text",
-            limit: int = TEXT_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Cut batches so that the texts of each take about ``limit`` bytes; a longer text is alone."""
+            limit: int = TEXT_BYTES, most: int | None = None
+            ) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Cut batches so that the texts of each take about ``limit`` bytes, and are ``most`` texts at
+    most, if given; a longer text is alone."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -54,6 +56,8 @@ def by_text(batches: Iterable[pa.RecordBatch], column: str = "text",
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            if most is not None:
+                to = min(to, at + most)
             yield batch.slice(at, to - at), texts.slice(at, to - at).to_pylist()
             at = to
 

@@ -20,7 +20,9 @@ from pagetables.llm.common import by_text, in_arrow
 
 DIM = 4096
 #: Bytes of text counted at once: about fifty times as much memory.
-TEXT_BYTES = 1 << 19
+TEXT_BYTES = 1 << 18
+#: Texts counted at once, however short: each has a row of ``DIM`` counts.
+TEXTS = 256
 UNKNOWN = "und"
 #: Bound of the sample that centroids are fitted on, over all languages together.
 SAMPLE = 4000
@@ -79,7 +81,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     """Number of texts, and of texts with each n-gram, over all of ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIM, np.int64), 0
-        for _, texts in by_text(batches, limit=TEXT_BYTES):
+        for _, texts in by_text(batches, limit=TEXT_BYTES, most=TEXTS):
             tf, letters = counts(texts)
             df += (tf > 0).sum(axis=0)
             n += int((letters > 0).sum())
@@ -163,7 +165,7 @@ def train(docs: DataFrame, lang: str = "lang", key: str = "doc_id", sample: int
         share = share | ((F.col("lang") == name) & (F.col("h") <= F.lit(top)))
 
     def run(batches):
-        for batch, texts in by_text(batches, limit=TEXT_BYTES):
+        for batch, texts in by_text(batches, limit=TEXT_BYTES, most=TEXTS):
             tf, letters = counts(texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("lang"), batch.column("h"), pa.array(letters),
@@ -203,7 +205,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
     keep = tuple(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in by_text(batches, limit=TEXT_BYTES):
+        for batch, texts in by_text(batches, limit=TEXT_BYTES, most=TEXTS):
             names, score, rejected = model.predict(texts)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in keep), pa.array(names, pa.string()),
@@ -234,7 +236,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
     model = train(docs.filter(~held_out(F.col("doc_id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in by_text(batches, limit=TEXT_BYTES):
+        for batch, texts in by_text(batches, limit=TEXT_BYTES, most=TEXTS):
             _, _, rejected = model.predict(texts)
             yield batch.filter(pa.array(~rejected))
 

@@ -1,6 +1,7 @@
 """Learned operators: held-out accuracy on the given tables, and odd rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagetables.llm import langid, licences, toxicity
@@ -118,3 +119,10 @@ def test_licence_odd_rows(odd):
     rows = licences.scan(odd, model).collect()
     assert len(rows) == 10 and all(r.licences == [] for r in rows)
     assert licences.scan(odd.limit(0), licences.train(odd.limit(0))).count() == 0
+
+
+def test_language_counts_few_texts_at_once():
+    """Each text has a row of counts, however short it is."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 600 + [None] * 600)], ["text"])
+    cuts = [texts for _, texts in langid.by_text([batch], limit=langid.TEXT_BYTES, most=langid.TEXTS)]
+    assert max(map(len, cuts)) <= 256 and sum(map(len, cuts)) == 1200
