@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from pagetables.sources.tables import work_partitions
 
 #: Buckets of a sketch, as a power of two; the standard error is about 0.83 / sqrt(2 ** 12) = 1.3 %.
 LG_K = 12
+#: Distinct values that are told apart by the bits of one number, and the rows from which a value may be one of them.
+HOT_VALUES, HOT_ROWS = 63, 100_000
 
 
 def levels_of(dims: list[str], kind: str) -> list[list[str]]:
@@ -18,6 +23,29 @@ def levels_of(dims: list[str], kind: str) -> list[list[str]]:
     return [[d for i, d in enumerate(dims) if not bits >> i & 1] for bits in range(1 << len(dims))]
 
 
+def hot_values(rows: DataFrame, item: str, least: int) -> DataFrame | None:
+    """The values of ``item`` with the most rows, more than ``least``, and a ``_bit`` of a number for each; None if there
+    are none. Every other value has at most a 64th of all rows, or ``least``."""
+    most = rows.filter(F.col(item).isNotNull()).groupBy(item).agg(F.count(F.lit(1)).alias("_n")).filter(
+        F.col("_n") > least).orderBy(F.desc("_n")).limit(HOT_VALUES).select(item).collect()
+    if not most:
+        return None
+    kind = StructType([StructField(item, rows.schema[item].dataType), StructField("_bit", LongType())])
+    return rows.sparkSession.createDataFrame([(r[0], 1 << i) for i, r in enumerate(most)], kind)
+
+
+def _dealt(folded: DataFrame, names: list[str], hot: DataFrame | None) -> DataFrame:
+    """The rows dealt by ``_item``; those without one, and hot ones, which keep their ``_bit`` instead, by a ``_spot`` of
+    their group. The number of tasks is given: each makes a copy for every level, so it must not follow the bytes."""
+    if hot is None:
+        folded = folded.withColumn("_bit", F.lit(None).cast("long"))
+    else:
+        folded = folded.join(F.broadcast(hot), "_item", "left").withColumn(
+            "_item", F.when(F.col("_bit").isNull(), F.col("_item")))
+    return folded.withColumn("_spot", F.when(F.col("_item").isNull(), F.xxhash64(*names))).repartition(
+        work_partitions(folded.sparkSession), "_item", "_spot")
+
+
 def level_totals(df: DataFrame, dims: list[str], value: str, distinct: str,
                  levels: list[list[str]] | str = "cube", exact: bool = True, lg_k: int = LG_K) -> DataFrame:
     """Rows, total ``value`` and different ``distinct`` at every level.
@@ -29,9 +57,11 @@ def level_totals(df: DataFrame, dims: list[str], value: str, distinct: str,
     has one row, also for an empty table if it is asked for; others have none.
 
     Rows are first folded to one for each (dimensions, distinct value), or with ``exact=False`` to one sketch of
-    bounded size for each group of all dimensions; only these are copied for the levels. Exact counts
-    are made in two steps, by (level, group, value) and then by (level, group), each partly aggregated before its
-    shuffle: the grand total, or a group with a third of all rows, never meets in one task row by row.
+    bounded size for each group of all dimensions; only these are copied for the levels. For exact counts
+    the folded rows are dealt by their distinct value, so that the copies of a value meet in the task that made them and
+    are counted there; only the partial totals of (level, group) are shuffled. The grand total, or a group with a third of
+    all rows, never meets in one task row by row. Nor does a distinct value with very many rows: the most frequent
+    ones (``hot_values``, found by a pass over that column) are dealt by their group and counted by one bit each.
     """
     wanted = levels_of(dims, levels) if isinstance(levels, str) else levels
     names = [f"_d{i}" for i in range(len(dims))]
@@ -40,7 +70,7 @@ def level_totals(df: DataFrame, dims: list[str], value: str, distinct: str,
     totals = [F.count(F.lit(1)).alias("n_rows"), F.sum("_value").alias("total")]
     again = [F.sum("n_rows").alias("n_rows"), F.sum("total").alias("total")]
     if exact:
-        folded = rows.groupBy(*names, "_item").agg(*totals)
+        folded = _dealt(rows.groupBy(*names, "_item").agg(*totals), names, hot_values(rows, "_item", HOT_ROWS))
     else:
         text = F.col("_item").cast("string")
         folded = rows.groupBy(*names).agg(*totals, F.hll_sketch_agg(text, lg_k).alias("_sketch"))
@@ -53,8 +83,9 @@ def level_totals(df: DataFrame, dims: list[str], value: str, distinct: str,
 
     copied = folded.withColumn("_l", F.explode(F.array(*map(level, wanted)))).drop(*names).select("_l.*", "*").drop("_l")
     if exact:
-        items = copied.groupBy("level", *names, "_item").agg(*again)
-        out = items.groupBy("level", *names).agg(*again, F.count("_item").alias("n_distinct"))
+        items = copied.groupBy("level", *names, "_item", "_spot").agg(*again, F.bit_or("_bit").alias("_bits"))
+        hot = F.coalesce(F.bit_count(F.bit_or("_bits")), F.lit(0))
+        out = items.groupBy("level", *names).agg(*again, (F.count("_item") + hot).alias("n_distinct"))
     else:
         out = copied.groupBy("level", *names).agg(*again, F.hll_sketch_estimate(
             F.hll_union_agg("_sketch")).alias("n_distinct"))

@@ -61,6 +61,37 @@ def test_no_level_meets_row_by_row(spark):
     assert plan.count("Scan ExistingRDD") == 1 and len(folded) == plan.count("Exchange hashpartitioning") == 3
 
 
+def test_copies_for_the_levels_are_not_shuffled(spark):
+    """They are counted where they are made; what is shuffled by level has no distinct value in its key."""
+    df = spark.createDataFrame(ROWS, SALES)
+    plan = rollup.level_totals(df, ["a", "b"], "v", "who")._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(level" in line]
+    assert moved and not [line for line in moved if "_item" in line]
+
+
+@pytest.mark.parametrize("least", [0, 10])
+@pytest.mark.parametrize("levels", ["cube", [["a"], []]])
+def test_hot_values_are_counted_once(spark, monkeypatch, least, levels):
+    """With 0 all values are hot, or as many as there are bits."""
+    rows = ROWS + [("x", i % 4, Decimal(1), "w1", "clash") for i in range(40)] + [(None, 9, None, f"v{i}", "") for i in range(80)]
+    monkeypatch.setattr(rollup, "HOT_ROWS", least)
+    df = spark.createDataFrame(rows, SALES)
+    hot = rollup.hot_values(df, "who", least).collect()
+    assert (len(hot) == 63 if least == 0 else 1 < len(hot) < 23) and hot[0] == ("w1", 1) and len({r[1] for r in hot}) == len(hot)
+    got = {(r.level, r.a, r.b): (r.n_rows, r.total, r.n_distinct) for r in rollup.level_totals(df, ["a", "b"], "v", "who", levels).collect()}
+    assert got == plain(rows, ["ab", "a", "b", ""] if levels == "cube" else ["a", ""])
+
+
+def test_a_hot_value_is_dealt_to_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(rollup, "HOT_ROWS", 1000)
+    df = spark.range(30000).select(F.col("id").alias("_d0"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(
+        F.lit("w"), "id")).alias("_item"))
+    dealt = rollup._dealt(df, ["_d0"], rollup.hot_values(df, "_item", rollup.HOT_ROWS))
+    n = dealt.rdd.getNumPartitions()
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert n > 1 and sum(sizes) == 30000 and max(sizes) < 2 * 30000 / n
+
+
 KEYS = "id int, k string, n bigint, _maybe string"
 
 
