@@ -151,6 +151,24 @@ def test_intervals_against_all_pairs(spark, keys):
         T.interval_join(a, b, "0 MINUTE")
 
 
+@pytest.mark.parametrize("keys", [None, ["g"]])
+def test_a_full_cell_is_cut_into_parts(spark, monkeypatch, keys):
+    """Each pair is given once, repeated rows too, and the pairs of one cell come from several tasks."""
+    monkeypatch.setattr(T, "CELL_ROWS", 20)
+    rng = random.Random(5)
+    make = lambda n: [(rng.choice([0, 0, 0, 1, None]), s := rng.randrange(0, 60), s + rng.randrange(1, 90)) for _ in range(n)]
+    left, right = make(130), make(90)
+    a, b = spans(spark, left), spans(spark, right)
+    df = T.interval_join(a.drop("i").unionByName(a.drop("i")), b, "1 MINUTE", keys)
+    want = Counter((left[i], j) for i, (g, s, e) in enumerate(left) for j, (h, t, f) in enumerate(right)
+                   if s < f and t < e and (keys is None or (g is not None and g == h)))
+    at = lambda t: int((t - START).total_seconds())
+    found = df.select("a", "b", F.spark_partition_id().alias("task")).collect()
+    assert Counter(((r.a.g, at(r.a.start), at(r.a.end)), r.b.i) for r in found) == {k: 2 * n for k, n in want.items()}
+    tasks = Counter(r.task for r in found if r.a.start < START + timedelta(seconds=60) and r.b.start < START + timedelta(seconds=60))
+    assert len(tasks) > 5 and max(tasks.values()) < sum(tasks.values()) / 3
+
+
 # --- changes -----------------------------------------------------------------------------
 
 def test_changes_are_the_multiset_differences(spark):
