@@ -216,12 +216,15 @@ def in_buckets(df: DataFrame, source: str, order: str, bucket: int = BUCKET) ->
     cuts = df.groupBy(source).agg(
         F.percentile_approx(at, quantiles, QUANTILES * 10).alias("_all"),
         F.least(F.ceil(F.count(F.lit(1)) / bucket), F.lit(QUANTILES)).cast("int").alias("_n"))
-    cuts = cuts.select(source, F.array_distinct(F.transform(
-        F.when(F.col("_n") > 1, F.sequence(F.lit(1), F.col("_n") - 1)).otherwise(
-            F.array().cast("array<int>")),
+    # at most one source for each ``bucket`` rows is cut; the others need no row here
+    cuts = cuts.filter("_n > 1").select(source, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.col("_n") - 1),
         lambda i: F.get("_all", (i * QUANTILES / F.col("_n")).cast("int") - 1))).alias("_cuts"))
-    return with_run_limit(df, cuts, source) \
-        .withColumn("_b", F.size(F.filter("_cuts", lambda c: c < at))).drop("_cuts")
+    steps = F.lit([2 ** i for i in reversed(range((QUANTILES - 1).bit_length()))])
+    passed = F.aggregate(steps, F.lit(0), lambda n, step: F.when(  # cuts rise, so halving finds how many are below
+        F.get("_cuts", n + step - 1) < at, n + step).otherwise(n))
+    return df.join(F.broadcast(cuts), source, "left") \
+        .withColumn("_b", F.coalesce(passed, F.lit(0))).drop("_cuts")
 
 
 def running_total(df: DataFrame, source: str, order: str, value: Column, name: str,

@@ -101,6 +101,29 @@ def test_outlier_does_not_gather_a_run(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
 
 
+def test_a_row_finds_its_bucket_by_halving(spark):
+    """With 1,000 cuts of a source no row looks at all of them, and rows do not move to meet the cuts."""
+    n = 50_000
+    df = spark.range(n).select(F.when(F.col("id") % 5 > 0, "hot").when(F.col("id") > 99, "warm").otherwise("cold").alias("source"),
+                               F.when(F.col("id") != 3, (F.col("id") * 7919 % n / 3).cast("int")).alias("page_no"))
+    df = df.unionByName(spark.createDataFrame([(None, 5)], "source string, page_no int"))
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = Q.in_buckets(df, "source", "page_no", 40)
+        text = got._jdf.queryExecution().executedPlan().toString()
+        assert "filter(_cuts" not in text and "SortMergeJoin" not in text
+        rows = got.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert len(rows) == n + 1 and {r["_b"] for r in rows if r["source"] in (None, "cold") or r["page_no"] is None} == {0}
+    for source, count in (("hot", 1000), ("warm", 250)):
+        placed = sorted((r["page_no"], r["_b"]) for r in rows if r["source"] == source and r["page_no"] is not None)
+        assert [b for _, b in placed] == sorted(b for _, b in placed)  # a bucket is a range
+        assert len(dict(placed)) == len(set(placed))  # a number is in one bucket
+        assert count * 0.95 <= len({b for _, b in placed}) <= count
+
+
 def test_stored_pages_all_come_back(spark):
     """Without a rule nothing is left out: no page without a number, none beyond fifty."""
     html = "<table><tr><th>Owner<tr><td>O{0}<td>b<td>c</table>"
